@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cyclora.llm.common import ship, text_key, words_of
+from cyclora.llm.common import fresh, ship, text_key, words_of
 
 WINDOW = 13
 #: About 40 MB of automaton.
@@ -167,6 +167,42 @@ def decontaminate(
     return one_each.select("doc_id", "n", "hits").mapInArrow(judge, schema)
 
 
+def keep_clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    window: int = WINDOW,
+    max_windows: int = MAX_WINDOWS,
+) -> DataFrame:
+    """The documents that are not contaminated, with all their columns. One automaton filters the rows as they pass;
+    several need the merged hits, joined by id and text."""
+    fresh(docs, "_dirty_id", "_dirty_key")
+    spark, at = docs.sparkSession, docs.columns.index(text)
+    parts = [spark.sparkContext.broadcast(m) for m in matchers(benchmark, item_id, item_text, window, max_windows)]
+    if not parts:
+        return docs
+    if len(parts) == 1:
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = []
+                for value in batch.column(at):
+                    words = words_of(value.as_py())
+                    hit = _covered([x[:2] for x in parts[0].value.hits(words)], len(words))
+                    clean.append(not (hit > 0 and SHARE * hit >= len(words)))
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return docs.mapInArrow(scan, docs.schema)
+    keyed = docs.select(F.struct(F.col(doc_id).alias("i"), text_key(F.col(text)).alias("k")).alias("doc_id"), F.col(text).alias("text"))
+    dirty = decontaminate(keyed, benchmark, "doc_id", "text", item_id, item_text, window, max_windows).filter("contaminated")
+    dirty = dirty.select(F.col("doc_id.i").alias("_dirty_id"), F.col("doc_id.k").alias("_dirty_key")).distinct()
+    same = F.col(doc_id).eqNullSafe(F.col("_dirty_id")) & (text_key(F.col(text)) == F.col("_dirty_key"))
+    return docs.join(dirty, same, "left_anti")
+
+
 def _table(ids: pa.Array, rows: list[dict]) -> pa.RecordBatch:
     kinds = {"items_sha256": pa.string(), "contaminated": pa.bool_()}
     names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
@@ -174,6 +210,28 @@ def _table(ids: pa.Array, rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", *names])
 
 
+#: The same in SQL, for DuckDB: every window of every document against every item's windows.
+_WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLE_SQL = f"""
+    WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+    b AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark),
+    item AS (
+        SELECT DISTINCT item_id, least(len(w), {WINDOW}) AS n, array_to_string(w[i + 1 : i + least(len(w), {WINDOW})], ' ') AS win
+        FROM b, range(0, greatest(1, len(w) - {WINDOW - 1})) r(i) WHERE len(w) > 0 AND i <= len(w) - least(len(w), {WINDOW})
+    ), sizes AS (SELECT DISTINCT n FROM item),
+    place AS (
+        SELECT doc_id, i AS pos, s.n, array_to_string(w[i + 1 : i + s.n], ' ') AS win FROM d, sizes s, range(0, len(w)) r(i) WHERE i + s.n <= len(w)
+    ), hit AS (SELECT doc_id, pos, n, item_id FROM place JOIN item USING (n, win)),
+    word AS (SELECT DISTINCT doc_id, pos + k AS pos FROM (SELECT DISTINCT doc_id, pos, n FROM hit), range(0, {WINDOW}) r(k) WHERE k < n),
+    n_hit AS (SELECT doc_id, count(*) AS n_hit FROM word GROUP BY doc_id),
+    found AS (
+        SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id
+    )
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+        coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 

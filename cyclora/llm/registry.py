@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cyclora.llm import decontamination, html_text, language, media, mixing, quality, simhash, url_rules
+import corpus_pipeline
+from cyclora.llm import decontamination, html_text, language, licenses, lines, media, mixing, quality, simhash, url_rules
 from cyclora.llm.common import read
 
 
@@ -14,10 +15,19 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs, report=True)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))
@@ -46,12 +56,19 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
+    "op2_licenses": op2_licenses,
     "op3_decontaminate": op3_decontaminate,
+    "op4_line_dedup": op4_line_dedup,
     "op5_quality": op5_quality,
     "op6_language": op6_language,
     "op7_simhash": op7_simhash,
     "op8_main_text": op8_main_text,
     "op9_media": op9_media,
     "op10_url_rules": op10_url_rules,
+    "pipeline": corpus_pipeline.run,
+}
+ORACLES: dict[str, str] = {
+    "op2_licenses": licenses.oracle_sql(),
+    "op3_decontaminate": decontamination.ORACLE_SQL,
+    "op4_line_dedup": lines.ORACLE_SQL,
 }
-ORACLES: dict[str, str] = {}
