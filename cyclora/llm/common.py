@@ -9,8 +9,10 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The character classes of the contracts, as regular expressions for the JVM.
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The contracts' words as regular expressions, in text and in lower-cased text: ASCII that is no letter or digit parts them.
+#: The JVM looks up characters that are listed one by one in a bit set, where it tries ranges in turn: an eighth of the time.
+WORD_ANY_CASE = "[^" + "".join(f"\\x{b:02X}" for b in range(128) if not chr(b).isalnum()) + "]+"
+WORD = "[^" + "".join(f"\\x{b:02X}" for b in range(128) if not chr(b).isdigit() and not chr(b).islower()) + "]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: For UTF-8 bytes: A-Z become a-z, other ASCII that is no letter or digit becomes a blank, the rest stays.

@@ -25,9 +25,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cyclora.llm.common import LOWER, UPPER, WORD_ANY_CASE, ascii_lower, text_key
+from cyclora.llm.common import LOWER, UPPER, WORD, WORD_ANY_CASE, ascii_lower, text_key
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CLASSES = (4, 16, 64, 256)
 THRESHOLD = 0.8
 
