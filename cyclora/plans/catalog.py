@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from cyclora.plans import features, numeric, relational, structure  # noqa: F401  they register their queries
+from cyclora.plans.registry import OPERATORS, ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["OPERATORS", "ORACLES", "QUERIES"]
