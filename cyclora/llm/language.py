@@ -89,16 +89,14 @@ class Parser:
         self.tables, self.bits = [], []
         for name in self.names:
             step = suffix_automaton(self.symbol[np.frombuffer(samples[name], np.uint8)].tobytes())
-            table = np.full((len(step), self.width), -1, np.int32)
+            lone = len(step)  # the state of a phrase that is one letter the language lacks
+            table = np.full((lone + 1, self.width), -1, np.int32)
             for state, out in enumerate(step):
                 table[state, list(out)] = list(out.values())
-            start = np.where(table[0] >= 0, table[0], 0) * self.width | _ENDS
-            table = np.where(table >= 0, table * self.width, start)
-            table[:, -1] = np.arange(len(step)) * self.width
-            table[0, table[0] & _ENDS > 0] = 0  # a letter the language lacks, outside a phrase, is counted by itself
-            lacking = table[0] == 0
-            lacking[-1] = False
-            table[0, lacking] = _ENDS
+            start = np.where(table[0] >= 0, table[0], lone) * self.width
+            table = np.where(table >= 0, table * self.width, start | _ENDS)
+            table[0] = start  # no phrase is open yet
+            table[:, -1] = np.arange(lone + 1) * self.width
             self.tables.append(table.astype(np.int32).ravel())
             self.bits.append(log2(max(2, len(samples[name]))))
 

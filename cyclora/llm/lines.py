@@ -19,6 +19,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from cyclora.llm.common import durable, fresh, ship, text_key
 
@@ -61,7 +62,7 @@ def _without(text: str, spans) -> str:
     return "\n".join([x for x, g in zip(lines, gone) if not g])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without(text: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([None if t is None or s is None else _without(t, s) for t, s in zip(text, spans)], dtype=object)
 

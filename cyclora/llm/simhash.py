@@ -32,6 +32,8 @@ from cyclora.llm.common import durable, ship, utf8
 SEED, SHINGLE, BUDGET = 42, 3, 2
 #: The most fingerprints that one subtrie brings to a task, and node pairs that it walks at once.
 MOST, PAIRS = 20_000, 1_000_000
+#: Subtries with so many free bits or fewer are not dealt out further: they hold at most 64 fingerprints.
+FEW_BITS = 6
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> bytes:
@@ -175,7 +177,8 @@ def links(fps: DataFrame, budget: int = BUDGET, most: int = MOST) -> DataFrame:
     masks = thirds(0)
     rows, settled = dealt(fps, masks), []
     while True:
-        large = durable(rows.groupBy("mask", "bucket").count().filter(F.col("count") > most).select("mask", "bucket"))
+        over = (F.col("count") > most) & (F.bit_count("mask") < 64 - FEW_BITS)
+        large = durable(rows.groupBy("mask", "bucket").count().filter(over).select("mask", "bucket"))
         if large.isEmpty():
             settled.append(rows)
             break
