@@ -71,7 +71,7 @@ def relative_entropy(scores: DataFrame, features: DataFrame, container: str, tok
     joined = scores.join(back, token, "left")
     enough = F.col("_n") >= min_background
     value = F.when(F.col("background") > 0, F.col("entropy") / F.col("background")) if ratio else F.col("entropy") - F.col("background")
-    return joined.select(token, "entropy", F.round(F.when(enough, F.col("background")), 6).alias("background"), F.round(F.when(enough, value), 6).alias("relative"))
+    return joined.select(token, "entropy", F.round(F.when(enough, F.col("background")), 12).alias("background"), F.round(F.when(enough, value), 12).alias("relative"))
 
 
 def cluster_entropy(ctx: DataFrame, token: str, container: str, cluster: str) -> DataFrame:
@@ -90,10 +90,10 @@ def cluster_rollup(by_cluster: DataFrame, token: str) -> DataFrame:
     known = F.col("entropy").isNotNull()
     return by_cluster.groupBy(token).agg(
         F.count("entropy").alias("n_clusters"),
-        F.round(F.avg("entropy"), 6).alias("mean_entropy"),
-        F.round(F.median("entropy"), 6).alias("median_entropy"),
+        F.round(F.avg("entropy"), 12).alias("mean_entropy"),
+        F.round(F.median("entropy"), 12).alias("median_entropy"),
         F.round(F.max("entropy"), 6).alias("max_entropy"),
-        F.round(F.sum(F.col("entropy") * F.col("weight")) / F.nullif(F.sum(F.when(known, F.col("weight"))), F.lit(0.0)), 6).alias("weighted_entropy"),
+        F.round(F.sum(F.col("entropy") * F.col("weight")) / F.nullif(F.sum(F.when(known, F.col("weight"))), F.lit(0.0)), 12).alias("weighted_entropy"),
     )
 
 
@@ -125,4 +125,4 @@ def mean_of_related(scores: DataFrame, relation: DataFrame, item: str, parent: s
     """(parent, value): a parent's mean (or max) over its different items."""
     pairs = relation.select(parent, item).distinct().join(scores.select(item, value), item)
     agg = F.avg(value) if how == "mean" else F.max(value)
-    return pairs.groupBy(parent).agg(F.round(agg, 6).alias(value))
+    return pairs.groupBy(parent).agg(F.round(agg, 12).alias(value))

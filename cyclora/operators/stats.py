@@ -41,17 +41,22 @@ def correlation_p(r: float | None, n: int) -> float | None:
     return _beta_share((n - 2) / 2, 0.5, (n - 2) / (n - 2 + t2))
 
 
+def _corr(x: str, y: str):
+    """Aggregate: the correlation of columns without nulls; null if one of them is constant."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def spearman(df: DataFrame, x: str, y: str, min_n: int = 5) -> tuple[int, float | None, float | None]:
     """(n, rho, p) over the rows where both are known; ranks are taken among these."""
     both = df.select(x, y).dropna()
     ranked = with_rank(with_rank(both, x, "_rx"), y, "_ry")
-    r = ranked.agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho")).first()
+    r = ranked.agg(F.count("*").alias("n"), _corr("_rx", "_ry").alias("rho")).first()
     rho = None if r["n"] < min_n or r["rho"] is None or r["rho"] != r["rho"] else r["rho"]
     return r["n"], rho, correlation_p(rho, r["n"])
 
 
 def pearson(df: DataFrame, x: str, y: str) -> tuple[int, float | None, float | None]:
-    r = df.select(x, y).dropna().agg(F.count("*").alias("n"), F.corr(x, y).alias("r")).first()
+    r = df.select(x, y).dropna().agg(F.count("*").alias("n"), _corr(x, y).alias("r")).first()
     value = None if r["r"] is None or r["r"] != r["r"] else r["r"]
     return r["n"], value, correlation_p(value, r["n"])
 

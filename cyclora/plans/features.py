@@ -80,13 +80,13 @@ _BACK = f"""{ENT}, m AS (SELECT DISTINCT container, token2 FROM f), p AS (SELECT
     b AS (SELECT p.token2, avg(e.entropy) AS bg, count(*) AS nb FROM p JOIN e ON e.token2 = p.o WHERE e.n_obs >= 10 AND e.entropy IS NOT NULL GROUP BY 1)"""
 
 
-@query("CTX-8", f"WITH {_BACK} SELECT e.token2, entropy, CASE WHEN nb >= 3 THEN round(bg, 6) END AS background, CASE WHEN nb >= 3 THEN round(entropy - bg, 6) END AS relative FROM e LEFT JOIN b USING (token2)")
+@query("CTX-8", f"WITH {_BACK} SELECT e.token2, entropy, CASE WHEN nb >= 3 THEN round(bg, 12) END AS background, CASE WHEN nb >= 3 THEN round(entropy - bg, 12) END AS relative FROM e LEFT JOIN b USING (token2)")
 def relative_entropy(t):
     f = features(t)
     return context.relative_entropy(context.context_entropy(_ctx(t), ["token2"]), f, "container", "token2")
 
 
-@query("CTX-9", f"WITH {_BACK} SELECT e.token2, entropy, CASE WHEN nb >= 3 THEN round(bg, 6) END AS background, CASE WHEN nb >= 3 AND bg > 0 THEN round(entropy / bg, 6) END AS relative FROM e LEFT JOIN b USING (token2)")
+@query("CTX-9", f"WITH {_BACK} SELECT e.token2, entropy, CASE WHEN nb >= 3 THEN round(bg, 12) END AS background, CASE WHEN nb >= 3 AND bg > 0 THEN round(entropy / bg, 12) END AS relative FROM e LEFT JOIN b USING (token2)")
 def relative_entropy_ratio(t):
     f = features(t)
     return context.relative_entropy(context.context_entropy(_ctx(t), ["token2"]), f, "container", "token2", ratio=True)
@@ -108,8 +108,8 @@ def cluster_entropy(t):
     return _by_cluster(t)
 
 
-@query("CTX-11 AGG-24 AGG-25", f"""WITH {_CLUSTER} SELECT token2, count(entropy) AS n_clusters, round(avg(entropy), 6) AS mean_entropy, round(median(entropy), 6) AS median_entropy, round(max(entropy), 6) AS max_entropy,
-    round(sum(entropy * weight) / nullif(sum(weight) FILTER (WHERE entropy IS NOT NULL), 0), 6) AS weighted_entropy FROM bc GROUP BY 1""")
+@query("CTX-11 AGG-24 AGG-25", f"""WITH {_CLUSTER} SELECT token2, count(entropy) AS n_clusters, round(avg(entropy), 12) AS mean_entropy, round(median(entropy), 12) AS median_entropy, round(max(entropy), 6) AS max_entropy,
+    round(sum(entropy * weight) / nullif(sum(weight) FILTER (WHERE entropy IS NOT NULL), 0), 12) AS weighted_entropy FROM bc GROUP BY 1""")
 def cluster_rollup(t):
     return context.cluster_rollup(_by_cluster(t), "token2")
 
@@ -127,10 +127,10 @@ def context_ratio(t):
 
 
 @query("CTX-13", f"""WITH {_BACK}, d AS (SELECT token2, round(avg(CAST(left2 = token2 AS INT) + CAST(right2 = token2 AS INT)), 6) AS duplication FROM c GROUP BY 1)
-    SELECT token2, round(CASE WHEN nb >= 3 THEN round(entropy - bg, 6) END + duplication, 5) AS combined FROM e LEFT JOIN b USING (token2) JOIN d USING (token2)""")
+    SELECT token2, round(CASE WHEN nb >= 3 THEN round(entropy - bg, 12) END + duplication, 9) AS combined FROM e LEFT JOIN b USING (token2) JOIN d USING (token2)""")
 def combined_score(t):
     r = context.relative_entropy(context.context_entropy(_ctx(t), ["token2"]), features(t), "container", "token2")
-    return r.join(context.duplication_rate(_ctx(t), "token2"), "token2").select("token2", F.round(F.col("relative") + F.col("duplication"), 5).alias("combined"))
+    return r.join(context.duplication_rate(_ctx(t), "token2"), "token2").select("token2", F.round(F.col("relative") + F.col("duplication"), 9).alias("combined"))
 
 
 @query("AGG-20", f"WITH {CTX}, d AS (SELECT DISTINCT container, token2, left2, right2 FROM c) SELECT token2, count(*) AS n FROM d GROUP BY 1")
@@ -164,7 +164,7 @@ def max_of_related(t):
     return context.mean_of_related(context.context_entropy(_ctx(t), ["token2"]), features(t), "token2", "container", "entropy", "max")
 
 
-@query("AGG-29", f"""WITH {ENT} SELECT container, round(avg(entropy), 6) AS entropy FROM (SELECT DISTINCT container, token2 FROM f) JOIN e USING (token2) GROUP BY 1""")
+@query("AGG-29", f"""WITH {ENT} SELECT container, round(avg(entropy), 12) AS entropy FROM (SELECT DISTINCT container, token2 FROM f) JOIN e USING (token2) GROUP BY 1""")
 def mean_of_related(t):
     return context.mean_of_related(context.context_entropy(_ctx(t), ["token2"]), features(t), "token2", "container", "entropy")
 
