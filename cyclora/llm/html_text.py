@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree of elements. Menus, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts
-and styles are known by element, role or the words of class and id, and leave the tree. For every node that is left,
+and styles are known by element, role or the words of class and id, and leave the tree; a part
+that only its place in the layout marks stays if it holds an article. For every node that is left,
 characters for each tag, adjusted by links, make its composite density; a node's sum is the sum of its children's
 densities. The node of the largest sum is the page's text, widened to the article around it; nodes beside it whose
 density reaches the least on the path from the body to it belong to the text too, if they are made of prose.
@@ -35,13 +36,19 @@ BOILERPLATE = set(
     "head script style noscript iframe template textarea title nav footer aside form fieldset button select option dialog menu svg canvas object embed audio video map label input".split()
 )
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-#: Words of class and id that mark boilerplate.
-MARKS = set(
-    "ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion banner menu nav navbar navigation"
-    " breadcrumb breadcrumbs sidebar aside header masthead topbar footer bottom copyright cookie cookies consent gdpr notice notices"
-    " comment comments commentlist reply replies respond disqus discussion share sharing social related recommended newsletter subscribe"
-    " subscription signup login popup modal overlay widget widgets toolbar pagination pager skip search searchform form".split()
+#: Words of class and id that mark boilerplate: of page layout, and of what is strange to an article wherever
+#: it stands.
+LAYOUT = set(
+    "banner menu nav navbar navigation breadcrumb breadcrumbs sidebar aside header masthead topbar footer bottom copyright share sharing"
+    " social widget widgets toolbar pagination pager skip search searchform form".split()
 )
+STRANGE = set(
+    "ad ads advert adverts advertisement advertising adsense adbox adslot adunit sponsor sponsored promo promotion taboola outbrain"
+    " cookie cookies consent gdpr notice notices alert alerts announcement disclaimer toast comment comments commentlist reply replies"
+    " respond disqus discussion related recommended newsletter subscribe subscription signup login popup modal overlay".split()
+)
+#: A class that says what a part has or lacks does not say what it is.
+_ABOUT_OTHERS = re.compile(r"^(?:has|no|with|without|hide|show)[-_]|[-_](?:with|without|no|has)[-_]", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=/?[a-zA-Z])[^>]*(>|$)|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -62,40 +69,46 @@ _STOPS_P = {"td", "th", "table", "button", "article", "section", "div", "li", "b
 
 
 class Node:
-    __slots__ = ("article", "body", "chars", "density", "dropped", "link_chars", "link_tags", "parent", "sum", "tag", "tags")
+    __slots__ = ("article", "body", "chars", "density", "dropped", "hard", "link_chars", "link_tags", "parent", "sum", "tag", "tags")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
+    def __init__(self, tag: str, parent: Node | None, dropped: str = ""):
         self.tag, self.parent, self.dropped = tag, parent, dropped
+        self.hard = dropped == "hard" or bool(parent and parent.hard)
         self.article = tag in ("article", "main") or bool(parent and parent.article)
         self.body: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
-def is_boilerplate(tag: str, attributes: str, within_article: bool) -> bool:
+def is_boilerplate(tag: str, attributes: str, within_article: bool) -> str:
+    """`hard` if an element is boilerplate, `soft` if only its place in the layout says so, else nothing. Inside articles a
+    header is the article's own."""
     if tag in BOILERPLATE or tag == "header" and not within_article:
-        return True
+        return "hard"
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        return False
+        return ""
+    found = ""
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values)
         name = name.lower()
-        if name in ("class", "id"):
-            words = {w.lower() for w in _PART.findall(value)}
-            if words & MARKS and tag not in ("body", "html", "article", "main"):
-                return True
+        if name in ("class", "id") and tag not in ("body", "html", "main"):
+            words = {w.lower() for x in value.split() if not _ABOUT_OTHERS.search(x) for w in _PART.findall(x)}
+            if words & STRANGE:
+                return "hard"
+            if tag != "article" and words & (LAYOUT - {"header"} if within_article else LAYOUT):
+                found = "soft"
         elif name == "role" and value.strip().lower() in ROLES:
-            return True
+            return "hard"
         elif name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
-            return True
+            return "hard"
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return "hard"
+    return found
 
 
 def parse(html: str) -> Node:
     """The page's tree, with boilerplate nodes marked. Unclosed elements end where HTML lets them end."""
-    top = Node("html", None, False)
+    top = Node("html", None)
     open_: list[Node] = [top]
     seen: set[str] = set()  # of elements that have begun: an end tag of another has nothing to end
     at, n = 0, len(html)
@@ -128,6 +141,11 @@ def parse(html: str) -> Node:
         if tag == "body":
             _close(open_, {"head"}, set())
         node = Node(tag, open_[-1], is_boilerplate(tag, m[3], open_[-1].article))
+        if tag in ("article", "main") and not node.hard:
+            for x in reversed(open_):  # what holds an article is no mere part of the layout
+                if x.tag in ("article", "main"):
+                    break
+                x.dropped = ""
         seen.add(tag)
         open_[-1].body.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCKS and tag not in RAW:
@@ -135,7 +153,7 @@ def parse(html: str) -> Node:
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|$)", re.I).search(html, at)
             at = end.end() if end else n
-            node.dropped = True
+            node.dropped = "hard"
             continue
         open_.append(node)
     return top

@@ -188,6 +188,12 @@ def test_main_text(shell):
     assert html_text.extract(PAGE % (shell % BODY)) == TEXT
 
 
+def test_names_of_parts():
+    inner = '<article class="post"><div class="entry-header"><h1>Title</h1></div><p>Body text of it.</p><div class="share-buttons">Share</div></article>'
+    for outer in ('<div class="has-sidebar layout-with-ads">%s</div>', '<div class="sidebar-right wrapper">%s</div>', '<div id="page">%s<div class="comments"><article class="comment">Nice text, says a reader.</article></div></div>'):
+        assert html_text.extract(PAGE % (outer % inner)) == "Title\nBody text of it."
+
+
 @pytest.mark.parametrize(("html", "text"), [(None, ""), ("", ""), ("plain", "plain"), ("<p>a<p>b", "a\nb"), ("<p>cut <b", "cut"), ("<nav>n</nav>", ""), ("<div>" * 30_000 + "deep", "deep"), ("a &lt; b < c", "a < b < c")])
 def test_odd_pages(html, text):
     assert html_text.extract(html) == text
