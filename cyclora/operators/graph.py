@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cyclora.operators.ordering import running
 from cyclora.session import durable
 
 MOST_EDGES = 5_000_000
@@ -310,10 +311,12 @@ def _replicates(n: int) -> Column:
 
 def configuration_null(edges: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
     """(rep, src, dst): in and out degrees kept as stubs, matched at random; parallel edges collapse, self-loops go."""
-    e = edges.select("src", "dst").distinct().withColumn("rep", _replicates(replicates))
-    a = e.select("rep", "src", F.row_number().over(Window.partitionBy("rep").orderBy("src", "dst")).alias("k"))
-    b = e.select("rep", "dst", F.row_number().over(Window.partitionBy("rep").orderBy(_random(seed, F.col("rep"), F.col("src"), F.col("dst")), "src", "dst")).alias("k"))
-    return a.join(b, ["rep", "k"]).filter("src != dst").select("rep", "src", "dst").distinct()
+    e = durable(edges.select("src", "dst").distinct().withColumn("rep", _replicates(replicates)))
+    # every replicate has as many stubs, so places in the order of all replicates pair stubs of the same one
+    shuffled = e.withColumn("_r", _random(seed, F.col("rep"), F.col("src"), F.col("dst")))
+    a = running(e, [F.asc(c) for c in ("rep", "src", "dst")], {"k": F.lit(1)}).select("k", "rep", "src")
+    b = running(shuffled, [F.asc(c) for c in ("rep", "_r", "src", "dst")], {"k": F.lit(1)}).select("k", "dst")
+    return a.join(b, "k").filter("src != dst").select("rep", "src", "dst").distinct()
 
 
 def gnm_null(edges: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
@@ -330,7 +333,7 @@ def gnm_null(edges: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
     pairs = k.select("rep", "k", F.pmod(_random(seed, F.col("rep"), F.col("k")), F.lit(n)).alias("a"), F.pmod(_random(seed + 1, F.col("rep"), F.col("k")), F.lit(n)).alias("b"))
     first = pairs.filter("a != b").groupBy("rep", "a", "b").agg(F.min("k").alias("k"))
     taken = first.withColumn("_r", F.row_number().over(Window.partitionBy("rep").orderBy("k"))).filter(F.col("_r") <= m)
-    ids = durable(names.withColumn("id", F.row_number().over(Window.orderBy("node")) - 1))
+    ids = durable(running(names, [F.asc("node")], {"id": F.lit(1)}).withColumn("id", F.col("id") - 1))
     return taken.join(ids.withColumnsRenamed({"id": "a", "node": "src"}), "a").join(ids.withColumnsRenamed({"id": "b", "node": "dst"}), "b").select("rep", "src", "dst")
 
 
@@ -338,6 +341,8 @@ def recombination_null(edges: DataFrame, replicates: int, seed: int = 42) -> Dat
     """(rep, src, dst): a ring of all nodes and random chords, two of the budget sum(max(0, degree - 2)) for each. A
     replicate is drawn by one task, over node numbers."""
     spark = edges.sparkSession
+    if nodes_of(edges).count() > MOST_EDGES:
+        raise ValueError("too many nodes for one task")
     names = [r["node"] for r in nodes_of(edges).orderBy("node").collect()]
     budget = degrees(edges).agg(F.sum(F.greatest(F.lit(0), F.col("degree") - 2))).first()[0] or 0
     kind = edges.schema["src"].dataType.simpleString()
@@ -345,8 +350,6 @@ def recombination_null(edges: DataFrame, replicates: int, seed: int = 42) -> Dat
     schema = f"rep long, src {kind}, dst {kind}"
     if n < 2:
         return spark.createDataFrame([], schema)
-    if n > MOST_EDGES:
-        raise ValueError("too many nodes for one task")
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         rep = int(pdf["rep"].iloc[0])

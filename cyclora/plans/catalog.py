@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cyclora.plans import features, numeric, relational, structure  # noqa: F401  they register their queries
+from cyclora.plans import features, files, numeric, relational, structure  # noqa: F401  they register their queries
 from cyclora.plans.registry import OPERATORS, ORACLES, QUERIES
 
 __all__ = ["OPERATORS", "ORACLES", "QUERIES"]

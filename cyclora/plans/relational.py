@@ -408,3 +408,33 @@ def bulk_columns(t):
     f = features(t)
     shares = [F.round(F.col(c) / 10, 6).alias(f"{c}_share") for c in ("value", "strand")]
     return f.select("sub", *shares, ((F.col("value") > 60) | (F.col("strand") < 0)).alias("any_flag"), F.round(aggregates.row_mean(["value", "strand"]), 6).alias("mean"))
+
+
+_STOPS = "('TAA', 'TAG', 'TGA')"
+
+
+@query("SEQ-3 SEQ-4 SEQ-5", f"""WITH b AS (SELECT doc_id, {_BASES} AS s FROM documents WHERE length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 60),
+    w AS (SELECT doc_id, s, i, substr(s, CAST(i - i % 3 + 1 AS INT), 3) AS codon FROM b, range(3, 45) r(i) WHERE substr(s, CAST(i + 1 AS INT), 1) = 'C'),
+    c AS (SELECT *, substr(codon, 1, CAST(i % 3 AS INT)) || 'T' || substr(codon, CAST(i % 3 + 2 AS INT), 3) AS changed FROM w)
+    SELECT c.doc_id, CAST(c.i AS INT) AS pos, codon, changed, coalesce((SELECT string_agg(CAST(o.i AS VARCHAR), ',' ORDER BY o.i) FROM w o WHERE o.doc_id = c.doc_id AND o.i <> c.i), '') AS others FROM c WHERE changed IN {_STOPS}""")
+def window_substitutions(t):
+    b = _bases(t).filter(F.length("s") == 60).withColumns({"a": F.lit(3), "z": F.lit(44)})
+    hits = sequence.window_substitutions(b, "doc_id", "s", "a", "z", "C", "T", ["TAA", "TAG", "TGA"])
+    x = hits.join(b, "doc_id")
+    return x.select("doc_id", F.col("at").alias("pos"), "codon", "changed", sequence.bystanders(F.col("s"), F.col("a"), F.col("z"), F.col("at"), "C").alias("others"))
+
+
+@query("SEQ-8", f"""WITH b AS (SELECT doc_id, {_BASES} AS s FROM documents), k AS (SELECT DISTINCT doc_id, substr(s, CAST(i + 1 AS INT), 12) AS kmer FROM b, range(0, 49) r(i) WHERE i + 12 <= length(s))
+    SELECT q.doc_id AS a, t.doc_id AS b, count(*) AS shared FROM k q JOIN k t USING (kmer) WHERE q.doc_id % 20 = 0 GROUP BY ALL HAVING count(*) >= 10""")
+def shared_kmers(t):
+    """Queries against all rows: every twentieth document is a query."""
+    b = _bases(t)
+    q = b.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "a")
+    return sequence.shared_kmers(q, b.withColumnRenamed("doc_id", "b"), "a", "b", "s", 12, 10)
+
+
+@query("SEQ-18")
+def alignment_map(t):
+    b = _bases(t)
+    pairs = b.withColumn("next", F.col("doc_id") + 1).join(b.select(F.col("doc_id").alias("next"), F.col("s").alias("s2")), "next")
+    return sequence.alignment_map(pairs.select("doc_id", F.substring("s", 1, 24).alias("a"), F.substring("s2", 1, 24).alias("b")), "doc_id", "a", "b")

@@ -35,10 +35,14 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and cuts its lineage. The folder is spark.checkpoint.dir; only where
-    that is unset (tests) one is made."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset (tests) one is made."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder and cuts its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

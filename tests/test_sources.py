@@ -119,3 +119,42 @@ def test_entry_points(spark, monkeypatch):
     found = importlib.util.find_spec
     monkeypatch.setattr(importlib.util, "find_spec", lambda n, *a: None if n.startswith(("cyclora.llm", "corpus_pipeline")) else found(n, *a))
     assert entry.queries() and not any(n.startswith("op") or n == "pipeline" for n in entry.queries())
+
+
+def test_alignment_is_the_best_one():
+    import random
+    from functools import cache
+
+    def score(a, b, placed):
+        total, i, j = 0.0, 0, 0
+        for x, y in [*[(i, y) for i, y in enumerate(placed) if y >= 0], (len(a), len(b))]:
+            gaps = [(x - i), (y - j)]
+            for n in gaps:
+                if n:
+                    total += -10 - 0.5 * (n - 1)
+            if x < len(a):
+                total += 2 if a[x] == b[y] else -1
+            i, j = x + 1, y + 1
+        return total
+
+    def best(a, b):
+        @cache
+        def go(i, j, last):
+            if i == len(a) and j == len(b):
+                return 0.0
+            out = []
+            if i < len(a) and j < len(b):
+                out.append((2 if a[i] == b[j] else -1) + go(i + 1, j + 1, 0))
+            if i < len(a):
+                out.append((-0.5 if last == 1 else -10) + go(i + 1, j, 1))
+            if j < len(b):
+                out.append((-0.5 if last == 2 else -10) + go(i, j + 1, 2))
+            return max(out)
+
+        return go(0, 0, 0)
+
+    rng = random.Random(21)
+    for _ in range(60):
+        a, b = ("".join(rng.choice("ACG") for _ in range(rng.randrange(9))) for _ in range(2))
+        assert score(a, b, sequence.align(a, b)) == pytest.approx(best(a, b)), (a, b)
+    assert sequence.align("ACGT", "ACGT") == [0, 1, 2, 3] and sequence.align("", "AC") == []
