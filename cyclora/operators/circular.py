@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from cyclora.session import durable
 
 
 def position_index(df: DataFrame, container: str, order: list[str], out: str = "idx") -> DataFrame:
@@ -25,6 +28,27 @@ def circular_neighbours(df: DataFrame, container: str, order: list[str], columns
     return df.withColumns(new)
 
 
+def circular_neighbours_split(df: DataFrame, container: str, order: list[str], columns: list[str], left: str = "left_", right: str = "right_") -> DataFrame:
+    """circular_neighbours for containers that may hold a large share of all rows: features are dealt out by ranges of
+    (container, order), so a container spreads over tasks. Rows at the edges of ranges get their neighbours from a list of
+    edges, two for each range; where circles close, from each container's first and last feature."""
+    keys = [container, *order]
+    row = F.struct(F.col(container).alias("c"), F.struct(*columns).alias("v"))
+    x = durable(df.repartitionByRange(*keys).withColumns({"_part": F.spark_partition_id(), "_row": row}))
+    edges = x.groupBy("_part").agg(F.min_by("_row", F.struct(*keys)).alias("a"), F.max_by("_row", F.struct(*keys)).alias("b")).orderBy("_part").collect()
+    kind = x.schema["_row"].dataType
+    table = [(e["_part"], edges[i - 1]["b"] if i else None, edges[i + 1]["a"] if i + 1 < len(edges) else None) for i, e in enumerate(edges)]
+    names = T.StructType([T.StructField("_part", T.IntegerType()), T.StructField("_before", kind), T.StructField("_after", kind)])
+    x = x.join(F.broadcast(df.sparkSession.createDataFrame(table, names)), "_part")
+    w = Window.partitionBy("_part").orderBy(*keys)
+    x = x.withColumns({"_l": F.coalesce(F.lag("_row").over(w), "_before"), "_r": F.coalesce(F.lead("_row").over(w), "_after")})
+    ends = df.groupBy(container).agg(F.min_by(row, F.struct(*order)).alias("_first"), F.max_by(row, F.struct(*order)).alias("_last"), F.count(F.lit(1)).alias("n_in_container"))
+    x = x.join(durable(ends), container)
+    near = lambda at, wrap: F.when(F.col(f"{at}.c") == F.col(container), F.col(f"{at}.v")).otherwise(F.col(f"{wrap}.v"))
+    x = x.withColumns({"_l": near("_l", "_last"), "_r": near("_r", "_first")})
+    return x.select(*df.columns, "n_in_container", *[y for c in columns for y in (F.col(f"_l.{c}").alias(left + c), F.col(f"_r.{c}").alias(right + c))])
+
+
 def orientation(left_strand: Column, right_strand: Column) -> Column:
     """PP, MM, PM, or MP for all else, null strands too."""
     return (

@@ -39,6 +39,12 @@ def circular_neighbours(t):
     return x.select("container", "sub", F.col("idx").cast("long").alias("idx"), F.col("left_token2").alias("left_token"), F.col("right_token2").alias("right_token"))
 
 
+@query("WIN-1 WIN-3 WIN-5", f"WITH {NEAR} SELECT container, sub, n AS n_in_container, left2 AS left_token, right2 AS right_token FROM nb")
+def circular_neighbours_split(t):
+    x = circular.circular_neighbours_split(features(t), "container", ORDER, ["token2"])
+    return x.select("container", "sub", "n_in_container", F.col("left_token2").alias("left_token"), F.col("right_token2").alias("right_token"))
+
+
 @query("WIN-1 WIN-2 WIN-3 WIN-4 PRJ-7 AGG-1", f"""WITH {NEAR} SELECT token AS domain1, right1 AS domain2, CASE WHEN strand = 1 AND rstrand = 1 THEN 'PP' WHEN strand = -1 AND rstrand = -1 THEN 'MM'
     WHEN strand = 1 AND rstrand = -1 THEN 'PM' ELSE 'MP' END AS orientation, count(*) AS weight FROM nb GROUP BY ALL""")
 def adjacency_edges(t):

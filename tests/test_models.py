@@ -56,6 +56,13 @@ def test_vicinity_in_small_circles(circles):
             assert got[r[2]] == (f[-1] or f[1], (f[-1] or f[-2]) and (f[1] or f[2])), (n, i)
 
 
+def test_split_containers_have_the_same_neighbours(spark, circles):
+    hot = spark.createDataFrame([(99, i // 3, 1000 + i, "xyz"[i % 3], None if i % 5 == 0 else 1, True) for i in range(300)], circles.schema)
+    rows = circles.unionByName(hot)
+    one, two = (f(rows, "c", ["pos", "id"], ["token", "strand"]) for f in (circular.circular_neighbours, circular.circular_neighbours_split))
+    assert sorted(map(str, one.select(two.columns).collect())) == sorted(map(str, two.collect()))
+
+
 def test_null_strands_are_neighbours(circles):
     want = {}
     for rows in on_circle().values():
