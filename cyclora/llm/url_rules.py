@@ -1,17 +1,19 @@
 """URL filtering by given rules and by association rules.
 
 Given rules name a host and a path: a rule fits its host and all subdomains if the url's path starts with the rule's;
-the longest that fits decides. Urls that they decide are labelled transactions: the tokens of a url and its label. Spark's
-FP-growth mines the frequent token combinations; those with a label at their end, enough support and
-confidence, and more confidence than the label has anyway, are association rules, and rules that a shorter one matches with no less confidence are pruned. A url that no given rule fits
-gets the label of its best mined rule (most confident, then best supported, then shortest, then first by name), found by
-an inverted index from each rule's first token; without one it gets `otherwise`.
+the longest that fits decides. A url's tokens and its label are a transaction; the label is what the given rules decide, and
+`otherwise` where they are silent: to learn from decided urls alone would take every host that a rule touches somewhere for
+what the rule says. Spark's FP-growth mines the frequent token combinations; those with a label at their end, enough support
+and confidence, and more confidence than the label has anyway, are association rules, and rules that a shorter one matches
+with no less confidence are pruned. A url that no given rule fits gets the label of its best mined rule (most confident, then
+best supported, then shortest, then first by name), found by an inverted index from each rule's first token; without one it
+gets `otherwise`.
 
 The number of mined rules does not grow with the pages: supports are shares of the transactions, and a rule has at most
 three tokens. The rules alone reach the driver.
 
 Nulls: a null url, or one without `://`, has an empty host and path and no tokens. Repeated rows count as often as they
-occur. Without labelled urls nothing is mined. Empty tables give no rows. Other columns are not read.
+occur. Empty tables give no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cyclora.llm.common import ascii_lower, durable, ship
+from cyclora.llm.common import ascii_lower, ship
 
 ALLOW, BLOCK = "allow", "block"
 
@@ -143,7 +145,7 @@ def judge(
     rows = rows.withColumn("given", given_rule(F.col("host"), F.col("path"), rules))
     cut = F.when(F.col("url").contains("://"), tokens(F.col("url"), F.col("host"), F.col("path")))
     rows = rows.select("page_id", "host", "path", F.col("given.rule").alias("rule"), F.col("given.verdict").alias("verdict"), F.coalesce(cut, F.array().cast("array<string>")).alias("tokens"))
-    index = Index(mine(rows, min_support, min_confidence))
+    index = Index(mine(rows.withColumn("verdict", F.coalesce("verdict", F.lit(otherwise))), min_support, min_confidence))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
