@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cyclora.session import ship
+
 
 def best_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group. Spark cuts groups down before the shuffle (WindowGroupLimit)."""
@@ -109,3 +111,6 @@ def batches(frames: Iterator[DataFrame]) -> DataFrame:
     for f in frames:
         out = out.unionByName(f)
     return out
+
+
+ship(__name__)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cyclora.operators.ordering import running
-from cyclora.session import durable
+from cyclora.session import durable, ship
 
 MOST_EDGES = 5_000_000
 
@@ -438,3 +438,6 @@ def communities(edges: DataFrame, rounds: int = 10, seed: int = 42) -> DataFrame
         weight = [dict(x) for x in merged]
     kind = edges.schema["src"].dataType.simpleString()
     return edges.sparkSession.createDataFrame(list(zip(names, group)), f"node {kind}, community int")
+
+
+ship(__name__)
