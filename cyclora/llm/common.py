@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import sys
-import tempfile
-
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cyclora.session import durable, ship
+
+__all__ = ["ascii_lower", "durable", "fresh", "read", "ship", "text_key", "utf8", "words_of"]
+
 #: The contracts' words as regular expressions, in text and in lower-cased text: ASCII that is no letter or digit parts them.
 #: The JVM looks up characters that are listed one by one in a bit set, where it tries ranges in turn: an eighth of the time.
 WORD_ANY_CASE = "[^" + "".join(f"\\x{b:02X}" for b in range(128) if not chr(b).isalnum()) + "]+"
@@ -21,25 +21,10 @@ WORD_BYTES = bytes(
 )
 
 
-def ship(module: str) -> None:
-    """Sends the module's functions to executors by value, so that they need not have the package."""
-    cloudpickle.register_pickle_by_value(sys.modules[module])
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and cuts its lineage, so that lost executors cost no recomputation of
-    what led here. The folder is spark.checkpoint.dir; only where that is unset (tests) one is made."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -36,26 +36,29 @@ SHARE = 20
 _HIT = "array<struct<first:bigint,n_words:int,item:string>>"
 
 
-class Matcher:
-    """Finds windows of items in lists of words."""
-
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
-        self.number: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
-        for name, words in items:
-            ids = tuple(self.number.setdefault(w, len(self.number) + 1) for w in words)
-            for i in range(max(1, len(ids) - window + 1)):
-                owners.setdefault(ids[i : i + window], set()).add(name)
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for key, names in owners.items():
-            self.automaton.add_word(key, (len(key), tuple(sorted(names))))
-        self.automaton.make_automaton()
-
-    def hits(self, words: list[bytes]) -> list[tuple[int, int, tuple[str, ...]]]:
-        """(first word, words, items) of all windows that occur; overlapping ones too."""
-        get = self.number.get
-        ids = tuple([get(w, 0) for w in words])
-        return [(end - n + 1, n, names) for end, (n, names) in self.automaton.iter(ids)] if ids else []
+#: The numbers of the benchmark's words, and the automaton over them: nothing that needs this package to be read again.
+Matcher = tuple[dict[bytes, int], ahocorasick.Automaton]
+
+
+def matcher(items: list[tuple[str, list[bytes]]], window: int) -> Matcher:
+    number: dict[bytes, int] = {}
+    owners: dict[tuple[int, ...], set[str]] = {}
+    for name, words in items:
+        ids = tuple(number.setdefault(w, len(number) + 1) for w in words)
+        for i in range(max(1, len(ids) - window + 1)):
+            owners.setdefault(ids[i : i + window], set()).add(name)
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for key, names in owners.items():
+        automaton.add_word(key, (len(key), tuple(sorted(names))))
+    automaton.make_automaton()
+    return number, automaton
+
+
+def windows_in(known: Matcher, words: list[bytes]) -> list[tuple[int, int, tuple[str, ...]]]:
+    """(first word, words, items) of all windows that occur; overlapping ones too."""
+    get, automaton = known[0].get, known[1]
+    ids = tuple([get(w, 0) for w in words])
+    return [(end - n + 1, n, names) for end, (n, names) in automaton.iter(ids)] if ids else []
 
 
 def matchers(benchmark: DataFrame, id_col: str, text_col: str, window: int, max_windows: int) -> Iterator[Matcher]:
@@ -66,10 +69,10 @@ def matchers(benchmark: DataFrame, id_col: str, text_col: str, window: int, max_
             items.append(("null" if row.i is None else row.i, words))
             n += max(1, len(words) - window + 1)
         if n >= max_windows:
-            yield Matcher(items, window)
+            yield matcher(items, window)
             items, n = [], 0
     if items:
-        yield Matcher(items, window)
+        yield matcher(items, window)
 
 
 def _covered(hits: list[tuple[int, int]], n: int) -> int:
@@ -116,7 +119,7 @@ def decontaminate(
                 out = []
                 for value in batch.column(1):
                     words = words_of(value.as_py())
-                    found = parts[0].value.hits(words) if parts else []
+                    found = windows_in(parts[0].value, words) if parts else []
                     out.append(_report(len(words), [x[:2] for x in found], {i for x in found for i in x[2]}))
                 yield _table(batch.column(0), out)
 
@@ -128,7 +131,7 @@ def decontaminate(
                 out = []
                 for value in batch.column(1):
                     words = words_of(value.as_py())
-                    found = part.value.hits(words)
+                    found = windows_in(part.value, words)
                     out.append((len(words), [{"first": a, "n_words": b, "item": i} for a, b, c in found for i in c]))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -191,7 +194,7 @@ def keep_clean(
                 clean = []
                 for value in batch.column(at):
                     words = words_of(value.as_py())
-                    hit = _covered([x[:2] for x in parts[0].value.hits(words)], len(words))
+                    hit = _covered([x[:2] for x in windows_in(parts[0].value, words)], len(words))
                     clean.append(not (hit > 0 and SHARE * hit >= len(words)))
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
@@ -260,7 +263,7 @@ def contaminated_spans(
                 rows = []
                 for i, value in enumerate(batch.column(1)):
                     body = value.as_py()
-                    found = part.value.hits(words_of(body))
+                    found = windows_in(part.value, words_of(body))
                     if not found:
                         continue
                     at = [w.span() for w in _WORD.finditer(body)]

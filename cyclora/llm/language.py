@@ -100,6 +100,16 @@ class Parser:
             self.tables.append(table.astype(np.int32).ravel())
             self.bits.append(log2(max(2, len(samples[name]))))
 
+    def plain(self) -> dict:
+        """The parser as arrays and lists, which can be read again without this package."""
+        return vars(self)
+
+    @classmethod
+    def of(cls, plain: dict) -> Parser:
+        parser = cls.__new__(cls)
+        vars(parser).update(plain)
+        return parser
+
     def phrases(self, blocks: np.ndarray) -> np.ndarray:
         """Phrases of each block (a column) in each language."""
         out = np.zeros((len(self.tables), blocks.shape[1]), np.int64)
@@ -172,13 +182,14 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 def identify(docs: DataFrame, parser: Parser, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per document: doc_id, held_out, lang_pred, score (how much better the best language parses than the next)."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(parser)
+    shared = docs.sparkSession.sparkContext.broadcast(parser.plain())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Parser.of(shared.value)
         for whole in batches:
             for i in range(0, whole.num_rows, 1024):
                 batch = whole.slice(i, 1024)
-                found = shared.value.predict(batch.column(2).to_pylist())
+                found = own.predict(batch.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
                     ["doc_id", "held_out", "lang_pred", "score"],
