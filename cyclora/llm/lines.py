@@ -16,12 +16,10 @@ columns are kept; those that start with `_line_` must not exist. Empty tables gi
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from cyclora.llm.common import durable, fresh, ship, text_key
+from cyclora.llm.common import durable, fresh, text_key
 
 SIZE = 3
 
@@ -54,17 +52,12 @@ def covered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     return later.groupBy("id", "key").agg(F.collect_set(F.struct(start.alias("a"), F.col("last").alias("b"))).alias("spans"))
 
 
-def _without(text: str, spans) -> str:
-    lines = text.split("\n")
-    gone = bytearray(len(lines))
-    for s in spans:
-        gone[s["a"] : s["b"] + 1] = b"\1" * (s["b"] + 1 - s["a"])
-    return "\n".join([x for x, g in zip(lines, gone) if not g])
-
-
-@F.pandas_udf(StringType())
-def without(text: pd.Series, spans: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None or s is None else _without(t, s) for t, s in zip(text, spans)], dtype=object)
+def without(text: Column, spans: Column) -> Column:
+    """The text without the lines in the spans; its cost is in proportion to the lines, whatever the spans."""
+    lines = F.split(text, "\n", -1)
+    gone = F.flatten(F.transform(spans, lambda s: F.sequence(s["a"], s["b"])))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, report: bool = False) -> DataFrame:
@@ -74,7 +67,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     same = F.col(doc_id).eqNullSafe(F.col("_line_id")) & (text_key(F.col(text)) == F.col("_line_key"))
     joined = docs.join(gone.hint("shuffle_hash"), same, "left")
     touched = F.col("_line_spans").isNotNull()
-    new = F.when(touched, without(F.when(touched, F.col(text)), F.col("_line_spans"))).otherwise(F.col(text))
+    new = F.when(touched, without(F.col(text), F.col("_line_spans"))).otherwise(F.col(text))
     if not report:
         return joined.withColumn(text, new).select(docs.columns)
     count = lambda x: F.when(F.coalesce(x, F.lit("")) == "", F.lit(0)).otherwise(F.size(F.split(x, "\n", -1))).cast("bigint")
@@ -101,5 +94,3 @@ ORACLE_SQL = """
         CAST(CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE len(string_split(d.text, chr(10))) END
             - CASE WHEN coalesce(j.text, '') = '' THEN 0 ELSE j.n END AS BIGINT) AS n_removed
     FROM documents d LEFT JOIN j USING (doc_id)"""
-
-ship(__name__)
