@@ -24,10 +24,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cyclora.llm.common import durable, ship, utf8
+from cyclora.llm.common import durable, fresh, ship, text_key, utf8
 
 SEED, SHINGLE, BUDGET = 42, 3, 2
 #: The most fingerprints that one subtrie brings to a task, and node pairs that it walks at once.
@@ -244,13 +244,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def place(doc_id: str, text: str) -> Column:
+    """What tells documents apart, in the order in which one is kept: null ids come last."""
+    return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), text_key(F.col(text)).alias("key"))
+
+
+def only(docs: DataFrame, stay: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The documents at the given places (doc), each once, with all their columns."""
+    fresh(docs, "_near_key", "_kept_id", "_kept_key")
+    keyed = docs.withColumn("_near_key", text_key(F.col(text)))
+    kept = stay.select(F.col("doc.id").alias("_kept_id"), F.col("doc.key").alias("_kept_key")).distinct()
+    same = F.col(doc_id).eqNullSafe(F.col("_kept_id")) & (F.col("_near_key") == F.col("_kept_key"))
+    return keyed.join(kept, same, "left_semi").dropDuplicates([doc_id, "_near_key"]).drop("_near_key")
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", budget: int = BUDGET) -> DataFrame:
-    """The documents without near-duplicates: of each component the one with the smallest id stays, with all its columns.
-    Rows of one id are one document, of which one row stays."""
-    near = near_duplicates(docs, doc_id, text, budget)
-    stay = near.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    kept = docs.join(stay, docs[doc_id].eqNullSafe(F.col("_kept_id")), "left_semi")
-    return kept.dropDuplicates([doc_id])
+    """The documents without near-duplicates: of each component the one with the smallest id, then the smallest key of its
+    text, stays, with all its columns. Rows of one id and text are one document, of which one row stays."""
+    near = near_duplicates(docs.select(place(doc_id, text).alias("doc_id"), F.col(text).alias("text")), budget=budget)
+    return only(docs, near.filter("doc_id = component_id").select(F.col("doc_id").alias("doc")), doc_id, text)
 
 
 ship(__name__)

@@ -95,6 +95,13 @@ def test_stages_of_empty_tables(stage, none, spark, tmp_path):
     assert stage[1](spark, none, str(tmp_path)).collect() == []
 
 
+def test_documents_of_null_and_shared_ids_stay_apart(spark):
+    texts = [f"{w} alone tells of {w} things in {w} places and no other" for w in "amber birch cedar daisy elder".split()]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (8, texts[4]), (None, texts[4])]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(set(rows[:6]), key=str)
+
+
 def test_clashing_columns_are_refused(docs):
     with pytest.raises(ValueError):
         mixing.mix(docs.withColumn("copy", F.lit(1)))
