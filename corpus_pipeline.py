@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cyclora.llm import decontamination, lines, mixing, quality, simhash
+from cyclora.llm import decontamination, lines, mixing, near_copies, quality
 from cyclora.llm.common import durable, read
 
 
@@ -28,8 +28,8 @@ def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    return simhash.one_of_each(docs)
+    """Of each group of texts with five-word Jaccard of 0.8 or more the document with the smallest id stays."""
+    return near_copies.one_of_each(docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
