@@ -161,12 +161,12 @@ def graph_communities(t):
 
 
 def _members(t):
-    return t.lineitem.filter("l_quantity >= 45").select("l_suppkey", "l_partkey").distinct()
+    return t.lineitem.select("l_suppkey", "l_partkey").distinct()
 
 
 @query("SEQ-12 SEQ-15")
 def greedy_cover(t):
-    return cover.greedy_cover(_members(t), "l_suppkey", "l_partkey", most=25)
+    return cover.greedy_cover(_members(t), "l_suppkey", "l_partkey")
 
 
 _RANKS = "(SELECT l_suppkey, row_number() OVER (ORDER BY count(DISTINCT l_partkey) DESC, l_suppkey) AS rank FROM lineitem GROUP BY 1)"
@@ -183,15 +183,14 @@ def coverage_curve(t):
 
 @query("SEQ-13")
 def cover_fixpoint(t):
-    m = _members(t).filter("l_partkey <= 60")
-    c, _ = cover.cover_to_fixpoint(m, "l_suppkey", "l_partkey", lambda x: x.filter("l_suppkey % 10 = 0"))
+    c, _ = cover.cover_to_fixpoint(_members(t), "l_suppkey", "l_partkey", lambda x: x.filter("l_suppkey % 10 = 0"))
     return c
 
 
 @query("SEQ-14 STM-2")
 def cover_growth(t):
-    m = _members(t).filter("l_suppkey <= 40").withColumn("grp", F.col("l_partkey") % 50)
-    return cover.growth_simulation(m, "grp", "l_suppkey", "l_partkey", 4, [1, 5, 10, 25, 50])
+    m = _members(t).withColumn("grp", F.col("l_partkey") % 50)
+    return cover.growth_simulation(m, "grp", "l_suppkey", "l_partkey", 10, list(range(1, 101)))
 
 
 @query("SEQ-7", "SELECT c_nationkey, c_mktsegment, 'guide_' || lpad(CAST(row_number() OVER (ORDER BY c_nationkey, c_mktsegment) AS VARCHAR), 6, '0') AS key_id FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer)")
