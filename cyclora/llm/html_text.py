@@ -1,15 +1,20 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree of elements. Menus, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts
-and styles are known by element, role or the words of class and id, and leave the tree; a part
-that only its place in the layout marks stays if it holds an article. For every node that is left,
-characters for each tag, adjusted by links, make its composite density; a node's sum is the sum of its children's
-densities. The node of the largest sum is the page's text, widened to the article around it; nodes beside it whose
-density reaches the least on the path from the body to it belong to the text too, if they are made of prose.
+A page becomes a tree of elements, without what no reader sees as text: scripts, styles, controls, hidden parts. For every
+node the composite density is worked out: characters for each tag, adjusted by the characters and tags of links, and by
+how linked the page is as a whole. Element, role and the words of class and id lower a density (`SOFT`, `HARD`) where they
+speak of menus, headers, footers, sidebars, notices, adverts, forms or comments; they delete nothing. A node's sum is the
+sum of its children's densities. The node of the largest sum holds the page's text, and the least density on the path from
+the body to it is the threshold.
+
+From there the text widens and narrows by that threshold alone: nodes beside the path whose density reaches it, and which
+are built of what the chosen node is built of, belong to the text; within it, lowered parts that don't reach it are left
+out. Elements `article` and `main` break ties between equal sums, and a header within one is its own.
 
 Text: character references are decoded, white space within a block becomes one blank, blocks come in page order, one a
 line. Nulls: a null page is empty and has no text. A page cut off anywhere is read as far as it goes. Repeated rows give
-equal rows. Nothing is dropped or cut for its length; depth is handled without recursion. Empty tables give no rows.
+equal rows. Nothing is dropped or cut for its length; depth is handled without recursion. Empty tables give no rows. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import pairwise
 from math import e, log
 
 import pyarrow as pa
@@ -32,21 +38,28 @@ BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset"
     " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-BOILERPLATE = set(
-    "head script style noscript iframe template textarea title nav footer aside form fieldset button select option dialog menu svg canvas object embed audio video map label input".split()
+UNSEEN = set(
+    "head script style noscript iframe template textarea title fieldset button select option dialog svg canvas object embed audio video map label input".split()
 )
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+LOWERED = set("nav footer aside form menu".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-#: Words of class and id that mark boilerplate: of page layout, and of what is strange to an article wherever
+#: Words of class and id that lower a density: of page layout, and of what is strange to an article wherever
 #: it stands.
 LAYOUT = set(
-    "banner menu nav navbar navigation breadcrumb breadcrumbs sidebar aside header masthead topbar footer bottom copyright share sharing"
-    " social widget widgets toolbar pagination pager skip search searchform form".split()
+    "banner menu nav navbar navigation breadcrumb breadcrumbs sidebar aside header masthead topbar footer bottom copyright"
+    " widget widgets toolbar pagination pager skip search searchform form".split()
 )
 STRANGE = set(
     "ad ads advert adverts advertisement advertising adsense adbox adslot adunit sponsor sponsored promo promotion taboola outbrain"
     " cookie cookies consent gdpr notice notices alert alerts announcement disclaimer toast comment comments commentlist reply replies"
-    " respond disqus discussion related recommended newsletter subscribe subscription signup login popup modal overlay".split()
+    " share sharing social respond disqus discussion related recommended newsletter subscribe subscription signup login popup modal overlay".split()
 )
+#: With one of these words beside it, `header` is an article's own.
+OWN = set("article content entry post story".split())
+#: What a density is multiplied by. A form, or a part that only words of layout speak of, is not lowered if it holds most of
+#: the page.
+SOFT, HARD = 0.2, 0.02
 #: A class that says what a part has or lacks does not say what it is.
 _ABOUT_OTHERS = re.compile(r"^(?:has|no|with|without|hide|show)[-_]|[-_](?:with|without|no|has)[-_]", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=/?[a-zA-Z])[^>]*(>|$)|[^<]+|<", re.S)
@@ -69,45 +82,46 @@ _STOPS_P = {"td", "th", "table", "button", "article", "section", "div", "li", "b
 
 
 class Node:
-    __slots__ = ("article", "body", "chars", "density", "dropped", "hard", "link_chars", "link_tags", "parent", "sum", "tag", "tags")
+    __slots__ = ("article", "body", "chars", "density", "hint", "link_chars", "link_tags", "parent", "place", "sum", "tag", "tags", "weight")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: str = ""):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
-        self.hard = dropped == "hard" or bool(parent and parent.hard)
+    def __init__(self, tag: str, parent: Node | None, hint: float = 1.0):
+        self.tag, self.parent, self.hint = tag, parent, hint  # the hint is 0 for what is not read at all
         self.article = tag in ("article", "main") or bool(parent and parent.article)
         self.body: list[Node | str] = []
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.chars = self.tags = self.link_chars = self.link_tags = self.place = 0
         self.density = self.sum = 0.0
+        self.weight = 1.0
 
 
-def is_boilerplate(tag: str, attributes: str, within_article: bool) -> str:
-    """`hard` if an element is boilerplate, `soft` if only its place in the layout says so, else nothing. Inside articles a
-    header is the article's own."""
-    if tag in BOILERPLATE or tag == "header" and not within_article:
-        return "hard"
+def hint(tag: str, attributes: str, within_article: bool) -> float:
+    """What an element, its role and the words of its class and id do to its density; 0 if it is not read."""
+    if tag in UNSEEN:
+        return 0.0
+    found = HARD if tag in LOWERED or tag == "header" and not within_article else 1.0
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        return ""
-    found = ""
+        return found
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values)
         name = name.lower()
         if name in ("class", "id") and tag not in ("body", "html", "main"):
             words = {w.lower() for x in value.split() if not _ABOUT_OTHERS.search(x) for w in _PART.findall(x)}
+            if within_article or words & OWN:
+                words.discard("header")
             if words & STRANGE:
-                return "hard"
-            if tag != "article" and words & (LAYOUT - {"header"} if within_article else LAYOUT):
-                found = "soft"
+                found = HARD
+            elif tag != "article" and words & LAYOUT:
+                found = min(found, SOFT)
         elif name == "role" and value.strip().lower() in ROLES:
-            return "hard"
+            found = HARD
         elif name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
-            return "hard"
+            return 0.0
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return "hard"
+            return 0.0
     return found
 
 
 def parse(html: str) -> Node:
-    """The page's tree, with boilerplate nodes marked. Unclosed elements end where HTML lets them end."""
+    """The page's tree. Unclosed elements end where HTML lets them end."""
     top = Node("html", None)
     open_: list[Node] = [top]
     seen: set[str] = set()  # of elements that have begun: an end tag of another has nothing to end
@@ -140,12 +154,7 @@ def parse(html: str) -> Node:
             _close(open_, *_ENDS[tag])
         if tag == "body":
             _close(open_, {"head"}, set())
-        node = Node(tag, open_[-1], is_boilerplate(tag, m[3], open_[-1].article))
-        if tag in ("article", "main") and not node.hard:
-            for x in reversed(open_):  # what holds an article is no mere part of the layout
-                if x.tag in ("article", "main"):
-                    break
-                x.dropped = ""
+        node = Node(tag, open_[-1], hint(tag, m[3], open_[-1].article))
         seen.add(tag)
         open_[-1].body.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCKS and tag not in RAW:
@@ -153,7 +162,7 @@ def parse(html: str) -> Node:
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|$)", re.I).search(html, at)
             at = end.end() if end else n
-            node.dropped = "hard"
+            node.hint = 0.0
             continue
         open_.append(node)
     return top
@@ -169,17 +178,28 @@ def _close(open_: list[Node], tags: set[str], stops: set[str]) -> None:
 
 
 def _ordered(top: Node) -> list[Node]:
-    """The nodes that are no boilerplate, parents before children."""
+    """The nodes that are read, parents before children, in page order."""
     out, todo = [], [top]
     while todo:
         node = todo.pop()
+        node.place = len(out)
         out.append(node)
-        todo += [x for x in reversed(node.body) if isinstance(x, Node) and not x.dropped]
+        todo += [x for x in reversed(node.body) if isinstance(x, Node) and x.hint]
     return out
 
 
+def composite_density(chars: int, tags: int, link_chars: int, link_tags: int, link_share: float) -> float:
+    """Characters for each tag, lowered by the share of links in both; link_share: of the page's characters."""
+    if not chars:
+        return 0.0
+    unlinked = max(1, chars - link_chars)
+    tags, link_chars, link_tags = max(1, tags), max(1, link_chars), max(1, link_tags)
+    base = log(log(chars / unlinked * link_chars + link_share * chars + e))
+    return chars / tags * log(max(1.0, chars / link_chars * tags / link_tags)) / base
+
+
 def measure(top: Node) -> list[Node]:
-    """Characters, tags, links and composite densities of all nodes that are no boilerplate."""
+    """Characters, tags, links, weights, composite densities and their sums, of all nodes that are read."""
     nodes = _ordered(top)
     for node in reversed(nodes):
         node.chars += sum(len("".join(x.split())) for x in node.body if isinstance(x, str))
@@ -193,39 +213,68 @@ def measure(top: Node) -> list[Node]:
             up.link_tags += node.link_tags
     whole = nodes[0]
     share = whole.link_chars / max(1, whole.chars)
-    for node in reversed(nodes):
-        c, t, lc, lt = node.chars, max(1, node.tags), max(1, node.link_chars), max(1, node.link_tags)
-        if c:
-            base = log(c / max(1, c - node.link_chars) * node.link_chars + share * c + e)
-            # an unlinked page's base is e to the power 1 at least; the logarithm's argument is 1 at least
-            node.density = c / t * log(max(1.0, c / lc * t / lt) + 1e-12) / max(base, 1e-9)
+    for node in nodes:
+        most = 2 * (node.chars - node.link_chars) > whole.chars - whole.link_chars
+        own = 1.0 if most and (node.hint == SOFT or node.tag == "form") else node.hint
+        node.weight = min(own, node.parent.weight) if node.parent else own
+        node.density = node.weight * composite_density(node.chars, node.tags, node.link_chars, node.link_tags, share)
         if node.parent:
             node.parent.sum += node.density
     return nodes
 
 
-def main_nodes(top: Node) -> list[Node]:
-    """The nodes that make up the page's text, in page order, none within another."""
+def _holds(node: Node) -> set[str]:
+    """The kinds of blocks with text that a node is built of."""
+    return {x.tag for x in node.body if isinstance(x, Node) and x.hint and x.chars and x.tag in BLOCKS}
+
+
+def _heading(node: Node) -> bool:
+    """Whether all that a node has is a heading."""
+    while node.tag not in HEADINGS:
+        inner = [x for x in node.body if isinstance(x, Node) and x.hint and x.chars]
+        if len(inner) != 1 or inner[0].chars != node.chars:
+            return False
+        node = inner[0]
+    return True
+
+
+def densest(nodes: list[Node]) -> Node:
+    """The node of the largest sum among those built of blocks. The page's body holds whatever the page has, so it counts
+    without the density of the part that the next best lies in."""
+
+    def largest(some: list[Node]) -> Node:
+        return max(some, key=lambda x: (x.sum, x.tag in ("article", "main"), -x.place))
+
+    built = [x for x in nodes if _holds(x)] or [nodes[0]]
+    best = largest(built)
+    inner = [x for x in built if x.tag not in ("html", "body")]
+    if best.tag in ("html", "body") and inner:
+        other = largest(inner)
+        part = next(x for x in [other, *_above(other)] if x.parent in (best, None))
+        if other.sum > best.sum - part.density:
+            return other
+    return best
+
+
+def main_nodes(top: Node) -> tuple[list[Node], float]:
+    """The nodes that make up the page's text, in page order, none within another; and the threshold."""
     nodes = [x for x in measure(top) if x.chars]
     if not nodes:
-        return []
-    best = max(nodes, key=lambda x: x.sum)
-    path, up = [], best
-    while up:
-        path.append(up)
-        up = up.parent
+        return [], 0.0
+    best = densest(nodes)
+    if best.weight <= HARD:  # a page of menus alone
+        return [], 0.0
+    path = [best, *_above(best)]
     least = min(x.density for x in path)
-    chosen = best
-    for node in path:
-        if node.tag in ("article", "main"):
-            chosen = node
-    if chosen.tag in ("article", "main"):
-        tops = [x for x in nodes if x.tag == chosen.tag and not any(p.tag == chosen.tag for p in _above(x))]
-        return [x for x in tops if x is chosen or x.density >= least]
-    if chosen.tag in ("html", "body") or chosen.parent is None:
-        return [chosen]
-    beside = [x for x in chosen.parent.body if isinstance(x, Node) and not x.dropped]
-    return [x for x in beside if x is chosen or x.chars and (re.fullmatch("h[1-6]", x.tag) or x.density >= least and 2 * x.link_chars < x.chars)]
+    kinds = _holds(best)
+    chosen = [best]
+    for inner, outer in pairwise(path):
+        for x in outer.body:
+            if isinstance(x, Node) and x is not inner and x.hint and x.chars:
+                alike = x.density >= least and (x.tag in kinds or _holds(x) & kinds)
+                if alike or x.weight == 1 and _heading(x):
+                    chosen.append(x)
+    return sorted(chosen, key=lambda x: x.place), least
 
 
 def _above(node: Node) -> Iterator[Node]:
@@ -234,8 +283,8 @@ def _above(node: Node) -> Iterator[Node]:
         yield node
 
 
-def text_of(roots: list[Node]) -> str:
-    """The blocks of the nodes, one a line."""
+def text_of(roots: list[Node], least: float = 0.0) -> str:
+    """The blocks of the nodes, one a line, without lowered parts of a density under the least."""
     lines, now = [], []
 
     def end() -> None:
@@ -252,7 +301,7 @@ def text_of(roots: list[Node]) -> str:
                 end()
             elif isinstance(x, str):
                 now.append(x)
-            elif x.dropped:
+            elif not x.hint or x.weight < root.weight and x.density <= least:
                 if x.tag in BLOCKS:
                     end()
             elif x.tag == "br":
@@ -268,7 +317,7 @@ def text_of(roots: list[Node]) -> str:
 
 
 def extract(html: str | None) -> str:
-    return text_of(main_nodes(parse(html))) if html else ""
+    return text_of(*main_nodes(parse(html))) if html else ""
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
