@@ -1,24 +1,27 @@
 """URL filtering by given rules and by association rules.
 
 Given rules name a host and a path: a rule fits its host and all subdomains if the url's path starts with the rule's;
-the longest that fits decides. A url's tokens and its label are a transaction; the label is what the given rules decide, and
-`otherwise` where they are silent: to learn from decided urls alone would take every host that a rule touches somewhere for
-what the rule says. Spark's FP-growth mines the frequent token combinations; those with a label at their end, enough support
-and confidence, and more confidence than the label has anyway, are association rules, and rules that a shorter one matches
-with no less confidence are pruned. A url that no given rule fits gets the label of its best mined rule (most confident, then
-best supported, then shortest, then first by name), found by an inverted index from each rule's first token; without one it
-gets `otherwise`.
+the longest that fits decides. The urls that the given rules decide are the labelled ones; a url's tokens and its label are
+a transaction. Spark's FP-growth mines the frequent token combinations of three quarters of the hosts; those with a label
+at their end, enough support and confidence, and more confidence than the label has anyway, are association rules. Rules
+that a shorter one matches with no less confidence are pruned, and so are those which, on the hosts held out, are right
+less often than the least confidence, or which fewer than `MIN_HOSTS` groups of hosts bear out. A url that no given rule
+fits gets the label of its best mined rule (most confident, then best supported, then shortest, then first by name), found
+by an inverted index from each rule's first token; without one it gets `otherwise`.
 
-The number of mined rules does not grow with the pages: supports are shares of the transactions, and a rule has at most
-three tokens. The rules alone reach the driver.
+Mined rules carry over what the given ones say of a host to its other paths, and of a path to other hosts: that is a guess,
+which held-out hosts can test only where the given rules decide.
+
+The number of mined rules does not grow with the pages: supports are shares of the transactions. Rules, and counts of a
+rule, alone reach the driver. The labelled urls' tokens are written once and read from there.
 
 Nulls: a null url, or one without `://`, has an empty host and path and no tokens. Repeated rows count as often as they
-occur. Empty tables give no rows. Other columns are not read.
+occur. Empty tables give no rows; without labelled urls nothing is mined. Other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -27,7 +30,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cyclora.llm.common import ascii_lower, ship
+from cyclora.llm.common import ascii_lower, durable, ship
 
 ALLOW, BLOCK = "allow", "block"
 
@@ -46,7 +49,9 @@ RULES = (
     Rule(BLOCK, "example.net", "/de/8"),
     Rule(BLOCK, "org", "/es/"),
 )
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT, MOST_TOKENS = 0.01, 0.6, 1.1, 3
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.01, 0.8, 1.1
+#: Every so manieth host is held out; a rule must be borne out by so many of so many groups of hosts.
+HELD, MIN_HOSTS, HOST_GROUPS = 4, 8, 64
 _LABEL = "label="
 
 
@@ -97,15 +102,15 @@ class Mined(NamedTuple):
         return (-self.confidence, -self.support, len(self.tokens), sorted(self.tokens), self.verdict)
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, most_tokens: int = MOST_TOKENS) -> list[Mined]:
-    """Association rules from (tokens, verdict) rows."""
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[Mined]:
+    """Association rules from (tokens, verdict) rows, those without a verdict aside."""
     items = F.array_append("tokens", F.concat(F.lit(_LABEL), "verdict"))
     sets = labelled.filter("verdict is not null").select(items.alias("items"))
     if sets.isEmpty():
         return []
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(sets)
-    ends = model.associationRules.filter(F.col("consequent")[0].startswith(_LABEL) & (F.size("antecedent") <= most_tokens))
-    ends = ends.filter(F.col("lift") >= MIN_LIFT).filter(~F.exists("antecedent", lambda x: x.startswith(_LABEL)))
+    ends = model.associationRules.filter(F.col("consequent")[0].startswith(_LABEL) & (F.col("lift") >= MIN_LIFT))
+    ends = ends.filter(~F.exists("antecedent", lambda x: x.startswith(_LABEL)))
     found = [Mined(frozenset(r.antecedent), r.consequent[0].removeprefix(_LABEL), r.confidence, r.support) for r in ends.collect()]
     kept: list[Mined] = []
     for rule in sorted(found, key=lambda r: (len(r.tokens), r.rank())):
@@ -114,6 +119,33 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     return sorted(kept, key=Mined.rank)
 
 
+def proven(rules: list[Mined], labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_hosts: int = MIN_HOSTS) -> list[Mined]:
+    """The rules that (tokens, verdict, hosts, held) rows bear out: right often enough where held, and in enough groups of
+    hosts."""
+    if not rules:
+        return []
+    index = Index(rules)
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: Counter = Counter()
+        for batch in batches:
+            for own, verdict, hosts, held in zip(*[c.to_pylist() for c in batch.columns]):
+                for i in index.fitting(own):
+                    told[i, hosts, held, rules[i].verdict == verdict] += 1
+        columns = [*zip(*told), tuple(told.values())] if told else [()] * 5
+        kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["rule", "hosts", "held", "right", "n"])
+
+    told = labelled.select("tokens", "verdict", "hosts", "held").mapInArrow(tell, "rule int, hosts int, held boolean, right boolean, n bigint")
+    each = told.groupBy("rule").agg(
+        F.count_distinct(F.when(F.col("right"), F.col("hosts"))).alias("hosts"),
+        F.sum(F.when(F.col("held") & F.col("right"), F.col("n")).otherwise(0)).alias("right"),
+        F.sum(F.when(F.col("held"), F.col("n")).otherwise(0)).alias("held"),
+    )
+    good = {r.rule for r in each.collect() if r.hosts >= min_hosts and r.held and r.right >= min_confidence * r.held}
+    return [rule for i, rule in enumerate(rules) if i in good]
+
+
 class Index:
     """Mined rules by their first token."""
 
@@ -123,9 +155,12 @@ class Index:
         for i, rule in enumerate(rules):
             self.by_token[min(rule.tokens)].append(i)
 
-    def best(self, tokens: list[str]) -> Mined | None:
+    def fitting(self, tokens: list[str]) -> list[int]:
         have = set(tokens)
-        fits = [i for t in have for i in self.by_token.get(t, ()) if self.rules[i].tokens <= have]
+        return [i for t in have for i in self.by_token.get(t, ()) if self.rules[i].tokens <= have]
+
+    def best(self, tokens: list[str]) -> Mined | None:
+        fits = self.fitting(tokens)
         return self.rules[min(fits)] if fits else None
 
 
@@ -137,6 +172,7 @@ def judge(
     otherwise: str = ALLOW,
     min_support: float = MIN_SUPPORT,
     min_confidence: float = MIN_CONFIDENCE,
+    min_hosts: int = MIN_HOSTS,
 ) -> DataFrame:
     """A row per page: page_id, host, path, rule, verdict, mined_rule, confidence (the last two where a mined rule decides)."""
     kind = pages.schema[page_id].dataType.simpleString()
@@ -145,7 +181,9 @@ def judge(
     rows = rows.withColumn("given", given_rule(F.col("host"), F.col("path"), rules))
     cut = F.when(F.col("url").contains("://"), tokens(F.col("url"), F.col("host"), F.col("path")))
     rows = rows.select("page_id", "host", "path", F.col("given.rule").alias("rule"), F.col("given.verdict").alias("verdict"), F.coalesce(cut, F.array().cast("array<string>")).alias("tokens"))
-    index = Index(mine(rows.withColumn("verdict", F.coalesce("verdict", F.lit(otherwise))), min_support, min_confidence))
+    hosts = F.pmod(F.xxhash64("host"), F.lit(HELD * HOST_GROUPS))
+    known = durable(rows.filter("verdict is not null").select("tokens", "verdict", (hosts / HELD).cast("int").alias("hosts"), (hosts % HELD == 0).alias("held")))
+    index = Index(proven(mine(known.filter("not held"), min_support, min_confidence), known, min_confidence, min_hosts))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

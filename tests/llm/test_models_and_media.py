@@ -324,6 +324,29 @@ def test_mined_rules_by_counting(spark):
         assert index.best(s) == (min(fits, key=url_rules.Mined.rank) if fits else None)
 
 
+def test_mined_rules_decide(spark, monkeypatch):
+    """Both verdicts come from mined rules; without the miner other urls get the default."""
+    pages = read(spark, "/root/testdata/sf0.01", "pages")
+    rows = {r.page_id: r for r in url_rules.judge(pages).collect()}
+    mined = [r for r in rows.values() if r.mined_rule]
+    assert {r.verdict for r in mined} == {"allow", "block"} and all(r.rule is None and r.confidence >= url_rules.MIN_CONFIDENCE for r in mined)
+    monkeypatch.setattr(url_rules, "mine", lambda *a: [])
+    plain = url_rules.judge(pages).collect()
+    changed = [r for r in plain if r.verdict != rows[r.page_id].verdict]
+    assert changed and all(r.rule is None and r.verdict == "allow" for r in changed)
+
+
+def test_rules_must_hold_on_other_hosts(spark):
+    rule = lambda t: url_rules.Mined(frozenset([t]), "block", 0.9, 0.1)
+    rows = [(["good"], "block", g, g % 2 == 0) for g in range(10)]
+    rows += [(["one host"], "block", 3, True)] * 20
+    rows += [(["not held"], "block", g, False) for g in range(10)]
+    rows += [(["wrong there"], "allow" if g % 2 == 0 else "block", g, g % 2 == 0) for g in range(20)]
+    d = spark.createDataFrame(rows, "tokens array<string>, verdict string, hosts int, held boolean")
+    got = url_rules.proven([rule(t) for t in ("good", "one host", "not held", "wrong there", "unseen")], d)
+    assert [r.tokens for r in got] == [{"good"}]
+
+
 # --- media -----------------------------------------------------------------------------------------------------------
 
 
