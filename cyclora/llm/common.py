@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cyclora.session import durable, ship
 
-__all__ = ["ascii_lower", "durable", "fresh", "read", "ship", "text_key", "utf8", "words_of"]
+__all__ = ["ascii_lower", "durable", "free", "read", "ship", "text_key", "utf8", "words_of"]
 
 #: The contracts' words as regular expressions, in text and in lower-cased text: ASCII that is no letter or digit parts them.
 #: The JVM looks up characters that are listed one by one in a bit set, where it tries ranges in turn: an eighth of the time.
@@ -43,11 +43,13 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), F.octet_length(F.coalesce(text, F.lit(""))))
 
 
-def fresh(df: DataFrame, *names: str) -> None:
-    """Columns that an operator adds must not exist yet."""
-    clash = {n.lower() for n in names} & {c.lower() for c in df.columns}
-    if clash:
-        raise ValueError(f"the input already has columns {sorted(clash)}")
+def free(columns: list[str], name: str) -> str:
+    """The name, or the first of name_2, name_3, ... that no column has."""
+    taken, out, k = {c.lower() for c in columns}, name, 1
+    while out.lower() in taken:
+        k += 1
+        out = f"{name}_{k}"
+    return out
 
 
 ship(__name__)

@@ -4,9 +4,10 @@ The benchmark's items are normalised to words and cut into windows of 13 words (
 automaton's symbols are word numbers, so it has a node for each word of a window and not for each letter. Each document
 is scanned once; matches come as word positions, which are mapped back to offsets in the original text.
 
-The automaton is the one thing broadcast. Its size is bounded: items are streamed to the driver in order, and once
-`max_windows` windows have gathered they make up one automaton. A benchmark beyond that takes several automata, each
-scanned against all documents, and the hits of a document are merged. The result is the same either way.
+The automaton is the one thing broadcast. Its size is bounded: items are streamed to the driver in order, and at
+`max_windows` windows, within an item if need be, they make up one automaton. A benchmark beyond that takes several
+automata, each scanned against all documents, and the hits of a document are merged. The result is the same either way,
+but that `contaminated_spans` gives a run in pieces if an item is split.
 
 Nulls: a null or empty text has no words and no hits. Items without words match nothing; repeated item ids count once;
 a null item id is written `null`. Rows with equal doc_id and text get equal values. Empty tables give no rows, or
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cyclora.llm.common import fresh, ship, text_key, words_of
+from cyclora.llm.common import free, ship, text_key, words_of
 
 WINDOW = 13
 #: About 40 MB of automaton.
@@ -62,15 +63,17 @@ def windows_in(known: Matcher, words: list[bytes]) -> list[tuple[int, int, tuple
 
 
 def matchers(benchmark: DataFrame, id_col: str, text_col: str, window: int, max_windows: int) -> Iterator[Matcher]:
-    items, n = [], 0
+    items, left = [], max_windows
     rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).orderBy("i", "t")
     for row in rows.toLocalIterator():
-        if words := words_of(row.t):
-            items.append(("null" if row.i is None else row.i, words))
-            n += max(1, len(words) - window + 1)
-        if n >= max_windows:
-            yield matcher(items, window)
-            items, n = [], 0
+        words = words_of(row.t)
+        while words:
+            items.append(("null" if row.i is None else row.i, words[: left + window - 1]))
+            n = max(1, len(items[-1][1]) - window + 1)
+            words, left = words[n:] if len(words) > n + window - 1 else [], left - n
+            if not left:
+                yield matcher(items, window)
+                items, left = [], max_windows
     if items:
         yield matcher(items, window)
 
@@ -182,7 +185,7 @@ def keep_clean(
 ) -> DataFrame:
     """The documents that are not contaminated, with all their columns. One automaton filters the rows as they pass;
     several need the merged hits, joined by id and text."""
-    fresh(docs, "_dirty_id", "_dirty_key")
+    dirty_id, dirty_key = free(docs.columns, "_dirty_id"), free(docs.columns, "_dirty_key")
     spark, at = docs.sparkSession, docs.columns.index(text)
     parts = [spark.sparkContext.broadcast(m) for m in matchers(benchmark, item_id, item_text, window, max_windows)]
     if not parts:
@@ -201,8 +204,8 @@ def keep_clean(
         return docs.mapInArrow(scan, docs.schema)
     keyed = docs.select(F.struct(F.col(doc_id).alias("i"), text_key(F.col(text)).alias("k")).alias("doc_id"), F.col(text).alias("text"))
     dirty = decontaminate(keyed, benchmark, "doc_id", "text", item_id, item_text, window, max_windows).filter("contaminated")
-    dirty = dirty.select(F.col("doc_id.i").alias("_dirty_id"), F.col("doc_id.k").alias("_dirty_key")).distinct()
-    same = F.col(doc_id).eqNullSafe(F.col("_dirty_id")) & (text_key(F.col(text)) == F.col("_dirty_key"))
+    dirty = dirty.select(F.col("doc_id.i").alias(dirty_id), F.col("doc_id.k").alias(dirty_key)).distinct()
+    same = F.col(doc_id).eqNullSafe(F.col(dirty_id)) & (text_key(F.col(text)) == F.col(dirty_key))
     return docs.join(dirty, same, "left_anti")
 
 

@@ -12,8 +12,8 @@ verified. Only constants are broadcast: the templates do not grow with the data.
 
 Base phrases must also stand word by word; each of their places is counted in the window in which it begins.
 
-All steps are DataFrame functions. Nulls: a null text is empty. Rows with equal doc_id and text get equal values; a null
-id is an id like others. Templates are never missed in repeated or very long texts. Empty tables give no rows. Columns of
+All steps are DataFrame functions. Nulls: a null text is empty. Rows with equal doc_id and text get equal values, each the
+ones it would get alone; a null id is an id like others. Templates are never missed in repeated or very long texts. Empty tables give no rows. Columns of
 the input other than the two named are not read.
 """
 
@@ -176,6 +176,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
     """A row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the largest
     containment)."""
     found = matches(docs, doc_id, text, templates).filter(~F.col("phrase") | (F.size("places") > 0))
+    found = found.dropDuplicates(["doc_id", "text_key", "span", "block_word", "template"])  # a repeated row's blocks
     by = found.groupBy("doc_id", "text_key").agg(
         F.sum(F.size("places")).alias("n_base"),
         F.min(F.when(F.col("phrase"), F.col("block_word") + F.array_min("places"))).alias("first_word"),
@@ -206,30 +207,30 @@ def oracle_sql(templates: tuple[Template, ...] = TEMPLATES) -> str:
         f"({k}, '{t.label}', {str(t.phrase).lower()}, {t.span}, {t.size}, {t.need}, '{w}')" for k, t in enumerate(templates) for w in sorted(set(t.words))
     )
     phrases = " UNION ALL ".join(
-        f"SELECT d.doc_id, '{t.label}' AS label, i AS pos FROM d, range(0, len(d.w) - {len(t.words) - 1}) r(i) WHERE "
+        f"SELECT d.row_id, '{t.label}' AS label, i AS pos FROM d, range(0, len(d.w) - {len(t.words) - 1}) r(i) WHERE "
         + " AND ".join(f"d.w[i + {j + 1}] = '{w}'" for j, w in enumerate(t.words))
         for t in templates
         if t.phrase
     )
     return f"""
     WITH d AS (
-        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents
+        SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents
     ), places AS ({phrases}),
-    n AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM d),
+    n AS (SELECT row_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM d),
     t(template, label, phrase, span, size, need, word) AS (VALUES {rows}),
     m AS (
-        SELECT n.doc_id, t.template, t.label, t.size, n.pos // t.span - o.i AS win, count(DISTINCT n.word) AS shared
+        SELECT n.row_id, t.template, t.label, t.size, n.pos // t.span - o.i AS win, count(DISTINCT n.word) AS shared
         FROM n JOIN t ON t.word = n.word AND NOT t.phrase, range(0, 2) o(i)
         WHERE n.pos // t.span - o.i >= 0
         GROUP BY ALL HAVING count(DISTINCT n.word) >= any_value(t.need)
     ), l AS (
-        SELECT doc_id, label, shared / size AS part, false AS base FROM m
-        UNION ALL SELECT doc_id, label, 1.0, true FROM places
+        SELECT row_id, label, shared / size AS part, false AS base FROM m
+        UNION ALL SELECT row_id, label, 1.0, true FROM places
     ), labelled AS (
-        SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+        SELECT row_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
             string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, max(part) AS score
-        FROM l GROUP BY doc_id
-    ), counted AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word FROM places GROUP BY doc_id)
+        FROM l GROUP BY row_id
+    ), counted AS (SELECT row_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word FROM places GROUP BY row_id)
     SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
         CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
-    FROM d LEFT JOIN labelled USING (doc_id) LEFT JOIN counted USING (doc_id)"""
+    FROM d LEFT JOIN labelled USING (row_id) LEFT JOIN counted USING (row_id)"""

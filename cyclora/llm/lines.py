@@ -11,7 +11,8 @@ A hot window is one row in the table of repeated windows, whose counts are made
 written before it is joined, so that both sides of the join are plain shuffles and Spark can split a hot window's rows.
 
 Nulls: a null text stays null. Rows of one id and text are one document and change alike. A null id sorts first. Extra
-columns are kept; those that start with `_line_` must not exist. Empty tables give no rows.
+columns are kept; where one has the name of a report column, the report's is named n_lines_2 and so on. Empty tables give
+no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cyclora.llm.common import durable, fresh, text_key
+from cyclora.llm.common import durable, free, text_key
 
 SIZE = 3
 
@@ -62,17 +63,17 @@ def without(text: Column, spans: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, report: bool = False) -> DataFrame:
     """docs with the covered lines gone from the text; with report also n_lines and n_removed."""
-    fresh(docs, "_line_id", "_line_key", "_line_spans", *(("n_lines", "n_removed") if report else ()))
-    gone = covered(docs, doc_id, text, size).select(F.col("id").alias("_line_id"), F.col("key").alias("_line_key"), F.col("spans").alias("_line_spans"))
-    same = F.col(doc_id).eqNullSafe(F.col("_line_id")) & (text_key(F.col(text)) == F.col("_line_key"))
+    names = [free(docs.columns, n) for n in ("_line_id", "_line_key", "_line_spans", "n_lines", "n_removed")]
+    line_id, line_key, line_spans, n_lines, n_removed = names
+    gone = covered(docs, doc_id, text, size).select(F.col("id").alias(line_id), F.col("key").alias(line_key), F.col("spans").alias(line_spans))
+    same = F.col(doc_id).eqNullSafe(F.col(line_id)) & (text_key(F.col(text)) == F.col(line_key))
     joined = docs.join(gone.hint("shuffle_hash"), same, "left")
-    touched = F.col("_line_spans").isNotNull()
-    new = F.when(touched, without(F.col(text), F.col("_line_spans"))).otherwise(F.col(text))
+    new = F.when(F.col(line_spans).isNotNull(), without(F.col(text), F.col(line_spans))).otherwise(F.col(text))
     if not report:
         return joined.withColumn(text, new).select(docs.columns)
     count = lambda x: F.when(F.coalesce(x, F.lit("")) == "", F.lit(0)).otherwise(F.size(F.split(x, "\n", -1))).cast("bigint")
-    out = joined.withColumn("n_lines", count(F.col(text))).withColumn(text, new)
-    return out.withColumn("n_removed", F.col("n_lines") - count(F.col(text))).select(*docs.columns, "n_lines", "n_removed")
+    out = joined.withColumn(n_lines, count(F.col(text))).withColumn(text, new)
+    return out.withColumn(n_removed, F.col(n_lines) - count(F.col(text))).select(*docs.columns, n_lines, n_removed)
 
 
 #: The same in SQL, for DuckDB.

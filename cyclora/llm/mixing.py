@@ -12,7 +12,7 @@ Randomness is a hash of seed, id and level, so reruns and recomputed tasks agree
 
 Nulls: a null text has no words; a null source is a source, sorted last. Rows of one id, source and text are one item,
 and each of them is taken equally often. A source without words has target 0 and is taken whole-part times (0 times).
-Empty tables give no rows. Columns that the operator adds must not exist yet, else it raises ValueError.
+Empty tables give no rows. If there is a column `copy` already, the mix names its own copy_2.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cyclora.llm.common import NOT_SPACE, durable, fresh, ship, text_key
+from cyclora.llm.common import NOT_SPACE, durable, free, ship, text_key
 
 MOST, LEAF, FAN, SEED = 3, 2_000, 64, 20_240_101
 WEIGHTS = (1, 2, 3)
@@ -166,13 +166,13 @@ def mix_report(docs: DataFrame, doc_id: str = "doc_id", source: str = "source",
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """The mix itself: each document's row as often as it is taken, with `copy` from 1."""
-    fresh(docs, "copy", "_mix_id", "_mix_key", "_mix_source", "_mix_n")
+    """The mix itself: each document's row as often as it is taken, with `copy` (or copy_2, if there is one) from 1."""
+    own_id, own_key, own_source, n, copy = [free(docs.columns, name) for name in ("_mix_id", "_mix_key", "_mix_source", "_mix_n", "copy")]
     taken = decisions(docs, doc_id, source, text, weights, most, seed).filter("copies > 0")
-    taken = durable(taken.select(F.col("doc_id").alias("_mix_id"), F.col("text_key").alias("_mix_key"), F.col("source").alias("_mix_source"), F.col("copies").alias("_mix_n")))
-    same = F.col(doc_id).eqNullSafe(F.col("_mix_id")) & (text_key(F.col(text)) == F.col("_mix_key")) & F.col(source).cast("string").eqNullSafe(F.col("_mix_source"))
+    taken = durable(taken.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key), F.col("source").alias(own_source), F.col("copies").alias(n)))
+    same = F.col(doc_id).eqNullSafe(F.col(own_id)) & (text_key(F.col(text)) == F.col(own_key)) & F.col(source).cast("string").eqNullSafe(F.col(own_source))
     out = docs.join(taken.hint("shuffle_hash"), same)
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "_mix_n"))).drop("_mix_id", "_mix_key", "_mix_source", "_mix_n")
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), n))).select(*docs.columns, copy)
 
 
 ship(__name__)

@@ -5,12 +5,12 @@ neighbouring labels are tied by a transition table. Forward-backward gives each
 is the mean of its lines' marginals, weighted by length. Lines take their document's label in training, which maximises
 the penalised likelihood by Adam over whole sequences.
 
-Training takes at most `SAMPLE` labelled rows (those whose ids hash lowest), of documents of at most `SAMPLE_LINES`
-lines; both are parameters. Only the features of these lines reach the driver, at most SAMPLE x SAMPLE_LINES x FEATURES
-floats. All documents are scored, over their whole texts.
+Training takes at most `SAMPLE` labelled rows, those whose ids hash lowest, and of a longer document `SAMPLE_LINES` lines in
+a row, from a place drawn by a hash of its text; both are parameters. Only the features of these lines reach the driver, at
+most SAMPLE x SAMPLE_LINES x FEATURES floats. All documents are scored, over their whole texts.
 
 Nulls: a null text is the empty text: one line without words, scored like any other. Labels that are null, or whose
-document is missing, teach nothing; without any usable label every score is 0.5. Repeated rows get equal scores; ids
+document is missing, teach nothing, nor do those of a document that has both labels; a repeated label counts once; without any usable label every score is 0.5. Repeated rows get equal scores; ids
 that are null are in no fold and count as not held out. Other columns are never inputs and pass through unread.
 """
 
@@ -19,13 +19,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import pairwise
 from math import log1p
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cyclora.llm.common import ship, utf8
+from cyclora.llm.common import ship, text_key, utf8
 
 FEATURES = 16
 SAMPLE, SAMPLE_LINES = 6_000, 128
@@ -179,21 +180,27 @@ def train(
     """The field, learnt from labelled rows outside fold 0; None if there are none."""
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y"))
     known = known.filter((fold(F.col("doc_id"), folds) != 0) & F.col("y").isin(0, 1))
-    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("y").alias("least")).filter("y = least").drop("least")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.select("y", "text", F.struct(F.xxhash64("doc_id"), "doc_id", text_key(F.col("text"))).alias("place"))
+    kind = rows.schema["place"].dataType.simpleString()
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for y, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                x, _ = line_features(value.as_py())
-                if len(x) <= sample_lines:
-                    out.append((y, len(x), x.tobytes()))
-            columns = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary()))], ["y", "n", "x"])
-
-    found = rows.select("y", "text").mapInArrow(lines, "y int, n bigint, x binary").orderBy("x", "y").limit(2 * sample).collect()
+            for value in batch.column(1):
+                body = value.as_py()
+                x, _ = line_features(body)
+                if len(x) > sample_lines:
+                    at = crc32(utf8(body)) % (len(x) - sample_lines + 1)
+                    x = x[at : at + sample_lines]
+                out.append((len(x), x.tobytes()))
+            columns = zip(*out) if out else ((), ())
+            found = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *found], ["y", "place", "n", "x"])
+
+    found = rows.mapInArrow(lines, f"y int, place {kind}, n bigint, x binary").orderBy("place").limit(sample).select("y", "n", "x").collect()
     if len({r.y for r in found}) < 2:
         return None
     size = np.array([r.n for r in found])

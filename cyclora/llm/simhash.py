@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cyclora.llm.common import durable, fresh, ship, text_key, utf8
+from cyclora.llm.common import durable, free, ship, text_key, utf8
 
 SEED, SHINGLE, BUDGET = 42, 3, 2
 #: The most fingerprints that one subtrie brings to a task, and node pairs that it walks at once.
@@ -251,11 +251,11 @@ def place(doc_id: str, text: str) -> Column:
 
 def only(docs: DataFrame, stay: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The documents at the given places (doc), each once, with all their columns."""
-    fresh(docs, "_near_key", "_kept_id", "_kept_key")
-    keyed = docs.withColumn("_near_key", text_key(F.col(text)))
-    kept = stay.select(F.col("doc.id").alias("_kept_id"), F.col("doc.key").alias("_kept_key")).distinct()
-    same = F.col(doc_id).eqNullSafe(F.col("_kept_id")) & (F.col("_near_key") == F.col("_kept_key"))
-    return keyed.join(kept, same, "left_semi").dropDuplicates([doc_id, "_near_key"]).drop("_near_key")
+    near_key, kept_id, kept_key = [free(docs.columns, name) for name in ("_near_key", "_kept_id", "_kept_key")]
+    keyed = docs.withColumn(near_key, text_key(F.col(text)))
+    kept = stay.select(F.col("doc.id").alias(kept_id), F.col("doc.key").alias(kept_key)).distinct()
+    same = F.col(doc_id).eqNullSafe(F.col(kept_id)) & (F.col(near_key) == F.col(kept_key))
+    return keyed.join(kept, same, "left_semi").dropDuplicates([doc_id, near_key]).drop(near_key)
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", budget: int = BUDGET) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cyclora.llm import decontamination, html_text, language, licenses, lines, media, mixing, quality, simhash, url_rules
+from cyclora.llm import decontamination, html_text, language, licenses, lines, media, mixing, near_copies, quality, simhash, url_rules
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, score double, fp string, size string"
 LONG = "mit license words go on and on. " * 20_000
@@ -102,11 +102,72 @@ def test_documents_of_null_and_shared_ids_stay_apart(spark):
     assert sorted(map(tuple, got), key=str) == sorted(set(rows[:6]), key=str)
 
 
-def test_clashing_columns_are_refused(docs):
-    with pytest.raises(ValueError):
-        mixing.mix(docs.withColumn("copy", F.lit(1)))
-    with pytest.raises(ValueError):
-        lines.dedup_lines(docs.withColumn("_line_id", F.lit(1)))
+def test_clashing_columns(docs, benchmark):
+    names = "copy _mix_id _mix_key _mix_source _mix_n _line_id _line_key _line_spans n_lines n_removed _near_key _kept_id _kept_key _dirty_id _dirty_key".split()
+    more = docs.withColumns({name: F.lit(7) for name in names})
+    plain = lambda df: sorted(map(str, df.select(docs.columns).collect()))
+    for work in (
+        mixing.mix,
+        lines.dedup_lines,
+        lambda d: lines.dedup_lines(d, report=True),
+        simhash.one_of_each,
+        near_copies.one_of_each,
+        lambda d: decontamination.keep_clean(d, benchmark),
+        lambda d: decontamination.keep_clean(d, benchmark, max_windows=1),
+    ):
+        out = work(more)
+        assert out.columns[: len(more.columns)] == more.columns and plain(out) == plain(work(docs))
+        assert all(set(r) == {7} for r in out.select(names).collect())
+    assert mixing.mix(more).columns[-1] == "copy_2" and lines.dedup_lines(more, report=True).columns[-2:] == ["n_lines_2", "n_removed_2"]
+
+
+ROW_BY_ROW = ["licenses", "decontaminate", "decontaminate_parts", "language", "simhash", "html", "media", "urls"]
+
+
+@pytest.mark.parametrize("name", ROW_BY_ROW)
+def test_repeated_rows_get_what_one_row_gets(name, docs, benchmark, labels):
+    many, once = (OPERATORS[name](d, benchmark, labels) for d in (docs, docs.distinct()))
+    if "feature" in many.columns:
+        many, once = (d.withColumn("feature", F.col("feature").cast("string")) for d in (many, once))
+    assert set(map(str, many.collect())) == set(map(str, once.collect()))
+
+
+def test_values_of_repeated_rows(spark, benchmark):
+    d = spark.createDataFrame([(1, "MIT license here")] * 3 + [(None, "MIT license here, mit license")] * 2, "doc_id long, text string")
+    assert sorted((r.n_base, r.n_words, r.first_word, r.last_word) for r in licenses.scan(d).collect()) == [(1, 3, 0, 0)] * 3 + [(2, 5, 0, 3)] * 2
+    d = spark.createDataFrame([(1, "one line and more")] * 2, "doc_id long, text string")
+    assert [(r.n_hit, r.n_items) for r in decontamination.decontaminate(d, benchmark).collect()] == [(2, 1)] * 2
+    d = spark.createDataFrame([(1, "a\nb\nc\nd")] * 2 + [(2, "x\na\nb\nc")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in lines.dedup_lines(d).collect()) == [(1, "a\nb\nc\nd")] * 2 + [(2, "x")]
+    d = spark.createDataFrame([(1, "w w w", "a")] * 4 + [(2, "w w", "b")], "doc_id long, text string, source string")
+    assert len({(r.copies, r.taken) for r in mixing.mix_report(d).filter("doc_id = 1").collect()}) == 1
+
+
+def test_labels_that_contradict_each_other(spark):
+    good, bad = "A plain line of words.\nAnd another one here.", "!!! BUY | NOW | !!!\n||| !!!"
+    d = spark.createDataFrame([(i, good if i % 2 else bad) for i in range(60)], "doc_id long, text string")
+    right = [(i, i % 2) for i in range(60)]
+    torn = [(i, 1 - i % 2) for i in range(0, 20)]
+    a, b = (
+        {r.doc_id: r.score for r in quality.score(d, quality.train(d, spark.createDataFrame(rows, "doc_id long, quality int"))).collect()}
+        for rows in (right[20:], right + right[30:] + torn)
+    )
+    assert a == b and all((s > 0.5) == bool(i % 2) for i, s in a.items())
+
+
+def test_long_documents_teach(spark):
+    good, bad = "A plain line of words.\n" * 400, "!!! BUY | NOW | !!!\n" * 400
+    d = spark.createDataFrame([(i, good if i % 2 else bad) for i in range(40)], "doc_id long, text string")
+    field = quality.train(d, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int"))
+    assert all((r.score > 0.5) == bool(r.doc_id % 2) for r in quality.score(d, field).collect())
+
+
+def test_an_item_split_over_automata(spark):
+    item = " ".join(f"w{i}" for i in range(200))
+    b = spark.createDataFrame([(1, item), (2, "w5 w6 w7")], "item_id long, text string")
+    d = spark.createDataFrame([(1, item), (2, " ".join(f"w{i}" for i in range(50, 70))), (3, "w5 w6 w7"), (4, "w1 w3")], "doc_id long, text string")
+    assert len(list(decontamination.matchers(b, "item_id", "text", 13, 25))) == 8
+    assert sorted(decontamination.decontaminate(d, b, max_windows=25).collect()) == sorted(decontamination.decontaminate(d, b).collect())
 
 
 def test_clips_of_unreadable_files(spark):

@@ -156,9 +156,38 @@ def test_phrases_by_brute_force():
                 while j <= len(coded) and coded[i:j] in samples[name]:
                     j += 1
                 i, count = max(j - 1, i + 1), count + 1
-            block = np.full((language.BLOCK, 1), p.width - 1, np.uint8)
-            block[: len(coded), 0] = p.symbol[np.frombuffer(coded, np.uint8)]
-            assert p.phrases(block)[k, 0] == count, (text, name)
+            block = np.full((1, language.BLOCK), p.width - 1, np.uint8)
+            block[0, : len(coded)] = p.symbol[np.frombuffer(coded, np.uint8)]
+            assert p.phrases(block, np.array([0]))[k, 0] == count, (text, name)
+
+
+def parsed(text, sample):
+    """Greedy phrases of a text, one after another."""
+    coded, i, count = language.letters(text), 0, 0
+    while i < len(coded):
+        n = 1
+        while i + n < len(coded) and coded[i : i + n + 1] in sample:
+            n += 1
+        i, count = i + n, count + 1
+    return count
+
+
+def test_predictions_by_brute_force():
+    """Texts of many blocks too, some of which never fall into step with a parse that starts elsewhere."""
+    rng = random.Random(8)
+    words = {"a": "abra cada bra alaka zam simsala".split(), "b": "hocus pocus fidibus lirum larum".split()}
+    samples = {k: language.letters(" ".join(rng.choices(w, k=300))) + bytes(x) * 40 for (k, w), x in zip(words.items(), (b"xyx", b"xyxyy"))}
+    p = language.Parser(samples)
+    texts = [" ".join(rng.choices(words["a"] + words["b"], k=k)) for k in (1, 3, 90, 700, 4000)]
+    texts += ["xyx" * 2000, "xyxyy" * 900 + " abra", "q" * 3000, "abra " * 1500, "x" * 511, "x" * 510, "½", "12", "", None, "é"]
+    got = p.predict(texts)
+    for text, (name, score) in zip(texts, got):
+        if not text or not any(c.isalpha() for c in text):
+            assert (name, score) == ("und", 0.0)
+            continue
+        costs = {k: parsed(text, samples[k]) * math.log2(len(samples[k])) for k in samples}
+        least, other = sorted(costs.values())
+        assert costs[name] == least and score == pytest.approx(1 - least / other), text[:20]
 
 
 def test_language_held_out(spark):
@@ -168,7 +197,7 @@ def test_language_held_out(spark):
 
 
 def test_language_of_texts_without_letters(spark):
-    d = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("hello world again", "en"), ("bonjour le monde", "fr"), (None, "en"), ("123 !?", "en"), ("", None)] * 4)], "doc_id long, text string, lang string")
+    d = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("hello world again", "en"), ("bonjour le monde", "fr"), (None, "en"), ("123 !? ½ ²", "en"), ("②③", None)] * 4)], "doc_id long, text string, lang string")
     got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(d, language.learn(d)).collect()}
     assert all(got[i] == ("und", 0.0) for i in range(20) if i % 5 > 1)
 
