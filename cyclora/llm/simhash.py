@@ -34,22 +34,33 @@ SEED, SHINGLE, BUDGET = 42, 3, 2
 MOST, PAIRS = 20_000, 1_000_000
 #: Subtries with so many free bits or fewer are not dealt out further: they hold at most 64 fingerprints.
 FEW_BITS = 6
+#: Places (an id and a key) that may be broadcast.
+FEW_ROWS = 250_000
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> bytes:
+def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """XXH64 of a text's shingles, repeats included, in text order; one for a text of fewer words, none without words."""
     words = utf8(text).lower().split()
     if not words:
-        return bytes(8)
+        return np.empty(0, ">i8")
     joined, digest = b" ".join(words), xxhash.xxh64_digest
     if len(words) <= size:
-        return digest(joined, SEED)
+        return np.frombuffer(digest(joined, SEED), ">i8")
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = [0, *ends[:-1].tolist()]
-    hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist())]
-    bits = np.unpackbits(np.frombuffer(b"".join(hashes), np.uint8)).reshape(-1, 64)
+    return np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist())]), ">i8")
+
+
+def majority(hashes: np.ndarray) -> bytes:
+    """The bits that are set in over half of the hashes."""
+    bits = np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64)
     return np.packbits(2 * bits.sum(axis=0, dtype=np.uint32) > len(hashes)).tobytes()
 
 
+def fingerprint(text: str | None, size: int = SHINGLE) -> bytes:
+    return majority(shingle_hashes(text, size))
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per document: doc_id, fp (the fingerprint as a signed long)."""
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -249,20 +260,35 @@ def place(doc_id: str, text: str) -> Column:
     return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), text_key(F.col(text)).alias("key"))
 
 
-def only(docs: DataFrame, stay: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The documents at the given places (doc), each once, with all their columns."""
-    near_key, kept_id, kept_key = [free(docs.columns, name) for name in ("_near_key", "_kept_id", "_kept_key")]
+def small(df: DataFrame) -> DataFrame:
+    """Marks a table for broadcast if it has been counted to be small; what joins it is shuffled otherwise."""
+    return F.broadcast(df) if df.count() <= FEW_ROWS else df
+
+
+def without(docs: DataFrame, gone: DataFrame, repeated: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The documents but for those at the places `gone`, with all their columns; of the rows at each place in `repeated` one.
+    Both hold places once, as `doc`, and are written already."""
+    near_key, other_id, other_key = [free(docs.columns, name) for name in ("_near_key", "_other_id", "_other_key")]
     keyed = docs.withColumn(near_key, text_key(F.col(text)))
-    kept = stay.select(F.col("doc.id").alias(kept_id), F.col("doc.key").alias(kept_key)).distinct()
-    same = F.col(doc_id).eqNullSafe(F.col(kept_id)) & (F.col(near_key) == F.col(kept_key))
-    return keyed.join(kept, same, "left_semi").dropDuplicates([doc_id, near_key]).drop(near_key)
+
+    def at(places: DataFrame, how: str, rows: DataFrame) -> DataFrame:
+        there = places.select(F.col("doc.id").alias(other_id), F.col("doc.key").alias(other_key))
+        same = F.col(doc_id).eqNullSafe(F.col(other_id)) & (F.col(near_key) == F.col(other_key))
+        return rows.join(small(there), same, how)
+
+    kept = keyed if gone.isEmpty() else at(gone, "left_anti", keyed)
+    if not repeated.isEmpty():
+        one = at(repeated, "left_semi", kept).dropDuplicates([doc_id, near_key])
+        kept = at(repeated, "left_anti", kept).unionByName(one)
+    return kept.drop(near_key)
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", budget: int = BUDGET) -> DataFrame:
     """The documents without near-duplicates: of each component the one with the smallest id, then the smallest key of its
     text, stays, with all its columns. Rows of one id and text are one document, of which one row stays."""
     near = near_duplicates(docs.select(place(doc_id, text).alias("doc_id"), F.col(text).alias("text")), budget=budget)
-    return only(docs, near.filter("doc_id = component_id").select(F.col("doc_id").alias("doc")), doc_id, text)
+    each = durable(near.groupBy(F.col("doc_id").alias("doc"), "component_id").agg(F.count("*").alias("n")))
+    return without(docs, each.filter("doc != component_id").select("doc"), each.filter("doc = component_id and n > 1").select("doc"), doc_id, text)
 
 
 ship(__name__)

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from cyclora.llm import near_copies
+from cyclora.llm import near_copies, simhash
 
 
 def shingle_set(text):
@@ -50,9 +51,34 @@ def texts():
     return dict(enumerate(out))
 
 
+def test_sketches_never_rule_out_too_much():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 63, 64, 65, 400, 3000):
+        a = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
+        for share in (0.0, 0.5, 0.8, 0.95, 1.0):
+            kept = a[rng.random(len(a)) < share]
+            b = np.unique(np.concatenate((kept, rng.integers(-(1 << 62), 1 << 62, rng.integers(0, 1 + len(a) // 3)))))
+            least = near_copies.apart(near_copies.sketch(a), near_copies.sketch(b))
+            assert least <= len(np.setxor1d(a, b))
+        assert near_copies.apart(near_copies.sketch(a), near_copies.sketch(a)) == 0
+    few, none = near_copies.sketch(np.arange(200) * 64), near_copies.sketch(np.arange(300) << 40)
+    assert none == b"" and near_copies.apart(few, none) == 0
+
+
+@pytest.mark.parametrize("few_rows", [0, 10_000])
+def test_repeated_rows(spark, texts, few_rows, monkeypatch):
+    monkeypatch.setattr(simhash, "FEW_ROWS", few_rows)
+    rows = [r for k, t in texts.items() for r in [(k, t)] * (1 + k % 3)] + [(k + 1000, t) for k, t in texts.items() if k % 4 == 0] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = near_copies.one_of_each(docs).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(kept_by_all_pairs(dict(rows)))
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == sorted({r.component_id for r in simhash.near_duplicates(docs).collect()})
+
+
 @pytest.mark.parametrize("rounds", [0, 2])
 def test_same_as_all_pairs(spark, texts, rounds, monkeypatch):
     monkeypatch.setattr(near_copies.linked, "__defaults__", (rounds,))
+    monkeypatch.setattr(near_copies, "PAIRS", 0 if rounds else 1e9)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     kept = {r.doc_id for r in near_copies.one_of_each(docs).collect()}
     assert kept == kept_by_all_pairs(texts) and 8 < len(kept) < len(texts) - 8
