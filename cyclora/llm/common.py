@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from cyclora.session import durable, ship
 
-__all__ = ["ascii_lower", "durable", "free", "read", "ship", "text_key", "utf8", "words_of"]
+__all__ = ["ascii_lower", "durable", "free", "read", "ship", "small", "text_key", "utf8", "words_of"]
 
 #: The contracts' words as regular expressions, in text and in lower-cased text: ASCII that is no letter or digit parts them.
 #: The JVM looks up characters that are listed one by one in a bit set, where it tries ranges in turn: an eighth of the time.
 WORD_ANY_CASE = "[^" + "".join(f"\\x{b:02X}" for b in range(128) if not chr(b).isalnum()) + "]+"
 WORD = "[^" + "".join(f"\\x{b:02X}" for b in range(128) if not chr(b).isdigit() and not chr(b).islower()) + "]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
+#: Rows (of an id and a key) that may be broadcast: about 10 MB.
+FEW_ROWS = 250_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: For UTF-8 bytes: A-Z become a-z, other ASCII that is no letter or digit becomes a blank, the rest stays.
 WORD_BYTES = bytes(
@@ -43,6 +45,13 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), F.octet_length(F.coalesce(text, F.lit(""))))
 
 
+def small(df: DataFrame, size: Column | None = None) -> DataFrame:
+    """Marks a table of a few numbers a row, or of `size` of them, for broadcast if it has been counted to be small; what joins
+    it is shuffled otherwise."""
+    n = df.count() if size is None else df.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(df) if n <= FEW_ROWS else df
+
+
 def free(columns: list[str], name: str) -> str:
     """The name, or the first of name_2, name_3, ... that no column has."""
     taken, out, k = {c.lower() for c in columns}, name, 1

@@ -27,15 +27,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cyclora.llm.common import durable, free, ship, text_key, utf8
+from cyclora.llm.common import durable, free, ship, small, text_key, utf8
 
 SEED, SHINGLE, BUDGET = 42, 3, 2
 #: The most fingerprints that one subtrie brings to a task, and node pairs that it walks at once.
 MOST, PAIRS = 20_000, 1_000_000
 #: Subtries with so many free bits or fewer are not dealt out further: they hold at most 64 fingerprints.
 FEW_BITS = 6
-#: Places (an id and a key) that may be broadcast.
-FEW_ROWS = 250_000
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -260,11 +258,6 @@ def place(doc_id: str, text: str) -> Column:
     return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), text_key(F.col(text)).alias("key"))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Marks a table for broadcast if it has been counted to be small; what joins it is shuffled otherwise."""
-    return F.broadcast(df) if df.count() <= FEW_ROWS else df
-
-
 def without(docs: DataFrame, gone: DataFrame, repeated: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The documents but for those at the places `gone`, with all their columns; of the rows at each place in `repeated` one.
     Both hold places once, as `doc`, and are written already."""

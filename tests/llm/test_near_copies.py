@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from cyclora.llm import near_copies, simhash
+from cyclora.llm import common, near_copies, simhash
 
 
 def shingle_set(text):
@@ -67,7 +67,7 @@ def test_sketches_never_rule_out_too_much():
 
 @pytest.mark.parametrize("few_rows", [0, 10_000])
 def test_repeated_rows(spark, texts, few_rows, monkeypatch):
-    monkeypatch.setattr(simhash, "FEW_ROWS", few_rows)
+    monkeypatch.setattr(common, "FEW_ROWS", few_rows)
     rows = [r for k, t in texts.items() for r in [(k, t)] * (1 + k % 3)] + [(k + 1000, t) for k, t in texts.items() if k % 4 == 0] * 2
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = near_copies.one_of_each(docs).collect()
