@@ -78,7 +78,6 @@ def test_repeated_rows(spark, texts, few_rows, monkeypatch):
 @pytest.mark.parametrize("rounds", [0, 2])
 def test_same_as_all_pairs(spark, texts, rounds, monkeypatch):
     monkeypatch.setattr(near_copies.linked, "__defaults__", (rounds,))
-    monkeypatch.setattr(near_copies, "PAIRS", 0 if rounds else 1e9)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     kept = {r.doc_id for r in near_copies.one_of_each(docs).collect()}
     assert kept == kept_by_all_pairs(texts) and 8 < len(kept) < len(texts) - 8
