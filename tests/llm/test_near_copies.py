@@ -75,7 +75,7 @@ def test_repeated_rows(spark, texts, few_rows, monkeypatch):
     assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == sorted({r.component_id for r in simhash.near_duplicates(docs).collect()})
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
+@pytest.mark.parametrize("rounds", [0, 1, 2])
 def test_same_as_all_pairs(spark, texts, rounds, monkeypatch):
     monkeypatch.setattr(near_copies.linked, "__defaults__", (rounds,))
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
