@@ -104,15 +104,17 @@ def _adjacency(edges: DataFrame, directed: bool) -> tuple[list, list[list[int]]]
     e = durable((edges.select("src", "dst").distinct() if directed else undirected(edges)))
     if e.count() > MOST_EDGES:
         raise ValueError(f"more than {MOST_EDGES} edges: searches from every source aren't feasible; sample sources on a subgraph")
-    rows = e.orderBy("src", "dst").collect()
-    names = sorted({r["src"] for r in rows} | {r["dst"] for r in rows} | {r["node"] for r in nodes_of(edges).collect()})
-    at = {n: i for i, n in enumerate(names)}
-    near: list[list[int]] = [[] for _ in names]
-    for r in rows:
-        near[at[r["src"]]].append(at[r["dst"]])
+    ids = _numbered(edges)
+    if ids.count() > MOST_EDGES:
+        raise ValueError(f"more than {MOST_EDGES} nodes")
+    a, b = ids.withColumnsRenamed({"id": "a", "node": "src"}), ids.withColumnsRenamed({"id": "b", "node": "dst"})
+    coded = e.join(a, "src").join(b, "dst").select("a", "b").toArrow()
+    near: list[list[int]] = [[] for _ in range(ids.count())]
+    for x, y in zip(coded.column("a").to_pylist(), coded.column("b").to_pylist()):
+        near[x].append(y)
         if not directed:
-            near[at[r["dst"]]].append(at[r["src"]])
-    return names, [sorted(x) for x in near]
+            near[y].append(x)
+    return ids.orderBy("id").toArrow().column("node").to_pylist(), [sorted(x) for x in near]
 
 
 def _levels(near: list[list[int]], s: int) -> dict[int, int]:
@@ -223,7 +225,7 @@ def _scaled(sums: DataFrame, norm: str) -> DataFrame:
     return sums.join(F.broadcast(whole)).select("node", F.when(F.col("_s") > 0, F.col("value") / F.col("_s")).otherwise(0.0).alias("value"))
 
 
-def eigenvector(edges: DataFrame, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
+def eigenvector(edges: DataFrame, rounds: int = 1000, tolerance: float = 1e-6) -> DataFrame:
     """(node, eigenvector) of the undirected graph by power iteration on A + I."""
     e = undirected(edges)
     both = durable(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
@@ -319,53 +321,48 @@ def configuration_null(edges: DataFrame, replicates: int, seed: int = 42) -> Dat
     return a.join(b, "k").filter("src != dst").select("rep", "src", "dst").distinct()
 
 
-def gnm_null(edges: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
-    """(rep, src, dst): graphs of the same nodes and number of edges, all such graphs equally likely. Twice as many random
-    pairs as needed are drawn, and the first different ones without self-loops are taken."""
-    spark = edges.sparkSession
-    names = nodes_of(edges)
-    n, m = names.count(), edges.select("src", "dst").distinct().count()
-    if n < 2:
-        return spark.createDataFrame([], f"rep long, src {edges.schema['src'].dataType.simpleString()}, dst {edges.schema['dst'].dataType.simpleString()}")
-    m = min(m, n * (n - 1))
-    draws = 2 * m + 64 if 4 * m < n * (n - 1) else 40 * m + 64
+def _numbered(edges: DataFrame) -> DataFrame:
+    """(node, id): the nodes in order, from 0."""
+    return durable(running(nodes_of(edges), [F.asc("node")], {"id": F.lit(1)}).withColumn("id", F.col("id") - 1))
+
+
+def _named(pairs: DataFrame, ids: DataFrame) -> DataFrame:
+    a, b = ids.withColumnsRenamed({"id": "a", "node": "src"}), ids.withColumnsRenamed({"id": "b", "node": "dst"})
+    return pairs.join(a, "a").join(b, "b").select("rep", "src", "dst")
+
+
+def _random_pairs(spark, n: int, need: int, replicates: int, seed: int, avoid: Column | None = None, barred: int = 0) -> DataFrame:
+    """(rep, a, b): so many different pairs of numbers below n that aren't equal, nor avoided, for each replicate: the first of
+    a row of hashed draws. barred: how many pairs are avoided. Draws are ranked over ranges of all replicates' draws."""
+    free = n * (n - 1) - barred
+    need = min(need, free)
+    draws = 2 * need + 64 if 4 * need < free else 40 * need + 64
     k = spark.range(draws).withColumnRenamed("id", "k").withColumn("rep", _replicates(replicates))
-    pairs = k.select("rep", "k", F.pmod(_random(seed, F.col("rep"), F.col("k")), F.lit(n)).alias("a"), F.pmod(_random(seed + 1, F.col("rep"), F.col("k")), F.lit(n)).alias("b"))
-    first = pairs.filter("a != b").groupBy("rep", "a", "b").agg(F.min("k").alias("k"))
-    taken = first.withColumn("_r", F.row_number().over(Window.partitionBy("rep").orderBy("k"))).filter(F.col("_r") <= m)
-    ids = durable(running(names, [F.asc("node")], {"id": F.lit(1)}).withColumn("id", F.col("id") - 1))
-    return taken.join(ids.withColumnsRenamed({"id": "a", "node": "src"}), "a").join(ids.withColumnsRenamed({"id": "b", "node": "dst"}), "b").select("rep", "src", "dst")
+    number = lambda s: F.pmod(_random(s, F.col("rep"), F.col("k")), F.lit(n))
+    pairs = k.select("rep", "k", number(seed).alias("a"), number(seed + 1).alias("b")).filter("a != b")
+    pairs = pairs if avoid is None else pairs.filter(~avoid)
+    first = running(pairs.groupBy("rep", "a", "b").agg(F.min("k").alias("k")), [F.asc("rep"), F.asc("k")], {"place": F.lit(1)})
+    begin = first.groupBy("rep").agg(F.min("place").alias("begin"))
+    return first.join(F.broadcast(begin), "rep").filter(F.col("place") - F.col("begin") < need).select("rep", "a", "b")  # a row a replicate
+
+
+def gnm_null(edges: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
+    """(rep, src, dst): graphs of the same nodes and number of edges, without self-loops, all equally likely."""
+    ids = _numbered(edges)
+    n, m = ids.count(), edges.select("src", "dst").distinct().count()
+    return _named(_random_pairs(edges.sparkSession, max(1, n), m if n > 1 else 0, replicates, seed), ids)
 
 
 def recombination_null(edges: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
-    """(rep, src, dst): a ring of all nodes and random chords, two of the budget sum(max(0, degree - 2)) for each. A
-    replicate is drawn by one task, over node numbers."""
-    spark = edges.sparkSession
-    if nodes_of(edges).count() > MOST_EDGES:
-        raise ValueError("too many nodes for one task")
-    names = [r["node"] for r in nodes_of(edges).orderBy("node").collect()]
-    budget = degrees(edges).agg(F.sum(F.greatest(F.lit(0), F.col("degree") - 2))).first()[0] or 0
-    kind = edges.schema["src"].dataType.simpleString()
-    n = len(names)
-    schema = f"rep long, src {kind}, dst {kind}"
-    if n < 2:
-        return spark.createDataFrame([], schema)
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        rep = int(pdf["rep"].iloc[0])
-        rng = np.random.default_rng([seed, rep])
-        have = {(i, (i + 1) % n) for i in range(n)}
-        left = budget
-        while left >= 2 and len(have) < n * (n - 1):
-            u, v = int(rng.integers(n)), int(rng.integers(n))
-            v = (u + 1) % n if u == v else v
-            if (u, v) not in have:
-                have.add((u, v))
-                left -= 2
-        pairs = sorted(have)
-        return pd.DataFrame({"rep": rep, "src": [names[a] for a, _ in pairs], "dst": [names[b] for _, b in pairs]})
-
-    return spark.range(replicates).withColumnRenamed("id", "rep").groupBy("rep").applyInPandas(draw, schema)
+    """(rep, src, dst): a ring through all nodes, and random chords beside it: each takes two of the budget, which is what
+    the nodes' degrees have beyond the ring's two, summed up."""
+    spark, ids = edges.sparkSession, _numbered(edges)
+    n = ids.count()
+    spare = degrees(edges).agg(F.sum(F.greatest(F.lit(0), F.col("degree") - 2))).first()[0] or 0
+    after = F.pmod(F.col("a") + 1, F.lit(max(1, n)))
+    ring = ids.filter(F.lit(n > 1)).select(F.col("id").alias("a")).withColumn("b", after).withColumn("rep", _replicates(replicates))
+    chords = _random_pairs(spark, max(1, n), int(spare) // 2 if n > 1 else 0, replicates, seed, F.col("b") == after, n)
+    return _named(ring.select("rep", "a", "b").unionByName(chords), ids)
 
 
 def null_summary(stats: DataFrame, columns: list[str]) -> DataFrame:
@@ -401,11 +398,34 @@ def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
 
 def communities(edges: DataFrame, rounds: int = 10, seed: int = 42) -> DataFrame:
     """(node, community): greedy modularity moves in seeded order, then the same over communities, until none gains
-    (Louvain). One task, so the size is checked. Labels differ from other methods' labels; modularity is comparable."""
-    names, near = _adjacency(edges, False)
+    (Louvain). One task holds the graph, so its size is checked. Labels differ from other methods' labels; modularity is
+    comparable. Nodes without edges to others are communities of their own."""
+    e = durable(undirected(edges))
+    if e.count() > MOST_EDGES or (lone := nodes_of(edges)).count() > MOST_EDGES:
+        raise ValueError(f"more than {MOST_EDGES} edges or nodes: they do not fit one task")
+    kind = edges.schema["src"].dataType.simpleString()
+
+    def moves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat([pd.DataFrame({"src": [], "dst": []}), *frames])
+        if pdf.empty:
+            return
+        names, codes = np.unique(np.concatenate((pdf["src"].to_numpy(), pdf["dst"].to_numpy())), return_inverse=True)
+        near: list[list[int]] = [[] for _ in names]
+        for a, b in codes.reshape(2, -1).T.tolist():
+            if a != b:
+                near[a].append(b)
+                near[b].append(a)
+        yield pd.DataFrame({"node": names, "community": louvain([sorted(x) for x in near], rounds, seed)})
+
+    own = lone.select(F.col("node").alias("src"), F.col("node").alias("dst"))
+    return e.select("src", "dst").unionByName(own).coalesce(1).mapInPandas(moves, f"node {kind}, community int")
+
+
+def louvain(near: list[list[int]], rounds: int, seed: int) -> list[int]:
+    """The community of each node of an undirected graph."""
     rng = np.random.default_rng(seed)
     weight = [dict.fromkeys(x, 1.0) for x in near]
-    group = list(range(len(names)))
+    group = list(range(len(near)))
     while True:
         label = list(range(len(weight)))
         strength = [sum(w.values()) + w.get(i, 0.0) for i, w in enumerate(weight)]
@@ -436,8 +456,7 @@ def communities(edges: DataFrame, rounds: int = 10, seed: int = 42) -> DataFrame
                 a, b = kept[label[i]], kept[label[j]]
                 merged[a][b] += x / 2 if a == b and i != j else x
         weight = [dict(x) for x in merged]
-    kind = edges.schema["src"].dataType.simpleString()
-    return edges.sparkSession.createDataFrame(list(zip(names, group)), f"node {kind}, community int")
+    return group
 
 
 ship(__name__)

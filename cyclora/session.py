@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import sys
 import tempfile
 
@@ -43,9 +46,16 @@ def ship(module: str) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset (tests) one is made."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a local session (as in tests)
+    gets one, which goes at the end; a cluster, whose executors could not see it, raises ValueError."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            shared = tempfile.mkdtemp(prefix="checkpoints-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(shared)
     return spark.sparkContext.getCheckpointDir()
 
 

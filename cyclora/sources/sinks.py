@@ -36,8 +36,8 @@ def graph_tables(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 def graph_xml(nodes: DataFrame, edges: DataFrame, most: int = 1_000_000) -> str:
     """A small graph as GraphML text; larger ones than `most` edges raise ValueError."""
-    if edges.count() > most:
-        raise ValueError(f"more than {most} edges; write graph_tables")
+    if edges.count() > most or nodes.count() > most:
+        raise ValueError(f"more than {most} edges or nodes; write graph_tables")
     attributes = [c for c in edges.columns if c not in ("src", "dst")]
     out = ['<?xml version="1.0" encoding="utf-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">']
     out += [f'<key id={quoteattr(a)} for="edge" attr.name={quoteattr(a)} attr.type="string"/>' for a in attributes]
