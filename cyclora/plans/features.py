@@ -150,19 +150,19 @@ def simpson_diversity(t):
     return context.simpson(t.customer, "c_nationkey", "c_mktsegment")
 
 
-_ALIGNED = "a AS (SELECT lang, unnest(string_split(substr(text, 1, 20), '')) AS sym, generate_subscripts(string_split(substr(text, 1, 20), ''), 1) - 1 AS col FROM documents WHERE length(text) >= 20)"
+_ALIGNED = "a AS (SELECT lang, unnest(string_split(text, '')) AS sym, generate_subscripts(string_split(text, ''), 1) - 1 AS col FROM documents WHERE text <> '')"
 
 
 @query("CTX-15", f"""WITH {_ALIGNED}, q AS (SELECT lang, col, sym, count(*) AS k FROM a GROUP BY ALL)
     SELECT lang, CAST(col AS BIGINT) AS col, CAST(sum(k) AS BIGINT) AS n, round(greatest(0, log2(sum(k)) - sum(k * log2(k)) / sum(k)), 6) AS entropy FROM q GROUP BY lang, col""")
 def column_entropy(t):
-    return context.column_entropy(t.documents.filter(F.length("text") >= 20).select("lang", F.substring("text", 1, 20).alias("s")), "lang", "s")
+    return context.column_entropy(t.documents.filter("text != ''").select("lang", F.col("text").alias("s")), "lang", "s")
 
 
 @query("CTX-16", f"""WITH {_ALIGNED}, q AS (SELECT lang, col, upper(sym) AS sym, count(*) AS k FROM a WHERE upper(sym) <> 'N' GROUP BY ALL)
     SELECT lang, CAST(col AS BIGINT) AS col, CAST(sum(k) AS BIGINT) AS n, round(log2(5.0) - greatest(0, log2(sum(k)) - sum(k * log2(k)) / sum(k)), 6) AS conservation FROM q GROUP BY lang, col""")
 def column_conservation(t):
-    return context.column_entropy(t.documents.filter(F.length("text") >= 20).select("lang", F.substring("text", 1, 20).alias("s")), "lang", "s", True)
+    return context.column_entropy(t.documents.filter("text != ''").select("lang", F.col("text").alias("s")), "lang", "s", True)
 
 
 @query("AGG-30", f"""WITH {ENT} SELECT container, round(max(entropy), 6) AS entropy FROM (SELECT DISTINCT container, token2 FROM f) JOIN e USING (token2) GROUP BY 1""")
@@ -269,8 +269,9 @@ def association_by_order(t):
     return _assoc(t)[1].select("sub", F.col("mge_assoc_B").alias("mge_assoc_b"))
 
 
-@query("STM-1")
+@query("STM-1", "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(t):
     from cyclora.streaming.events import windowed_counts
 
-    return windowed_counts(t.events, "ts", "event_type", "value")
+    w = windowed_counts(t.events, "ts", "event_type", "value")
+    return w.select(F.unix_timestamp(F.col("start").cast("timestamp")).alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

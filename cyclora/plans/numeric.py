@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cyclora.functions import numbers
 from cyclora.operators import aggregates, ranking, stats
 from cyclora.operators.ordering import percentiles, running, with_rank
 from cyclora.plans.registry import query
@@ -90,18 +91,26 @@ def correlation_table(t):
     return stats.all_pairs(x, ["size", "price", "cycle"])
 
 
-_P = "(SELECT c_custkey, (c_custkey * 7919 % 1009) / 1009.0 * ((c_custkey % 5 + 1) / 5.0) AS p FROM customer WHERE c_custkey <= 400)"
+_P = "(SELECT c_custkey, (c_custkey * 7919 % 1009) / 1009.0 * ((c_custkey % 5 + 1) / 5.0) AS p FROM customer)"
 
 
 @query("STA-4", f"""WITH r AS (SELECT c_custkey, p, row_number() OVER (ORDER BY p, c_custkey) AS i, count(*) OVER () AS m FROM {_P})
     SELECT c_custkey, round(least(1, min(p * m / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS q FROM r""")
 def benjamini_hochberg(t):
     k = F.col("c_custkey")
-    x = t.customer.filter("c_custkey <= 400").select("c_custkey", ((k * 7919 % 1009) / 1009.0 * ((k % 5 + 1) / 5.0)).alias("p"))
+    x = t.customer.select("c_custkey", ((k * 7919 % 1009) / 1009.0 * ((k % 5 + 1) / 5.0)).alias("p"))
     return stats.benjamini_hochberg(x, "p", ["c_custkey"]).select("c_custkey", F.round("q", 9).alias("q"))
 
 
-@query("STA-5 STA-6")
+_ERFC = "(t * exp({} - x * x))".format("".join(f"{c} + t * (" for c in stats.ERFC[:-1]) + str(stats.ERFC[-1]) + ")" * (len(stats.ERFC) - 1))
+
+
+@query("STA-5 STA-6", f"""WITH g AS (SELECT o_custkey, count(*) AS n, avg(CAST(o_orderstatus = 'F' AS INT)) AS share FROM orders GROUP BY 1), k AS (SELECT o_custkey, CAST(n AS BIGINT) AS n, CAST(floor(n * round(share, 4)) AS BIGINT) AS hits, share FROM g WHERE n >= 5),
+    r AS (SELECT o_custkey AS ref, n AS n2, hits AS k2 FROM k, (SELECT quantile_cont(share, 0.5) AS m FROM k) ORDER BY abs(share - m), o_custkey LIMIT 1),
+    c AS (SELECT o_custkey, n, hits, CAST(ref AS VARCHAR) AS reference, CAST(n AS DOUBLE) AS n1, CAST(n2 AS DOUBLE) AS n2, CAST(n - hits + n2 - k2 AS DOUBLE) AS zeros, CAST(hits + k2 AS DOUBLE) AS ones, hits * (n2 - k2) + (hits * k2 + (n - hits) * (n2 - k2)) / 2 AS u FROM k, r),
+    z AS (SELECT *, sqrt(greatest(0, n1 * n2 / 12 * (n1 + n2 + 1 - (zeros ** 3 - zeros + ones ** 3 - ones) / ((n1 + n2) * (n1 + n2 - 1))))) AS sd FROM c),
+    x AS (SELECT *, CASE WHEN sd > 0 THEN greatest(abs(u - n1 * n2 / 2) - 0.5, 0) / sd / sqrt(2) END AS x, 1 / (1 + x / 2) AS t FROM z)
+    SELECT o_custkey, n, hits, reference, round(u, 6) AS u, round(CASE WHEN x IS NULL THEN 1 ELSE least(1, {_ERFC}) END, 6) AS p FROM x""")
 def mann_whitney(t):
     x = t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"), F.avg((F.col("o_orderstatus") == "F").cast("int")).alias("share"))
     return stats.mann_whitney_binary(x, "o_custkey", "n", "share", 5)
@@ -115,7 +124,7 @@ def nearest_to_median(t):
 @query("STA-7", f"SELECT c_custkey, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS stars FROM {_P}")
 def significance_stars(t):
     k = F.col("c_custkey")
-    return t.customer.filter("c_custkey <= 400").select("c_custkey", stats.stars((k * 7919 % 1009) / 1009.0 * ((k % 5 + 1) / 5.0)).alias("stars"))
+    return t.customer.select("c_custkey", stats.stars((k * 7919 % 1009) / 1009.0 * ((k % 5 + 1) / 5.0)).alias("stars"))
 
 
 @query("STA-8 R3", "SELECT c_nationkey, round(CASE WHEN stddev_pop(c_acctbal) > 0 THEN (max(c_acctbal) - avg(c_acctbal)) / stddev_pop(c_acctbal) END, 6) AS z FROM customer GROUP BY 1")
@@ -134,10 +143,10 @@ def weighted_mean(t):
 
 
 @query("WIN-17 WIN-18", """WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey * 7919 % 1511, c_custkey) AS rn FROM customer)
-    SELECT CAST(size AS BIGINT) AS size, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS total FROM r JOIN (VALUES (1), (5), (38), (254), (1500)) s(size) ON rn <= size GROUP BY 1""")
+    SELECT CAST(size AS BIGINT) AS size, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS total FROM r JOIN (SELECT DISTINCT CAST(floor(round(pow(n, i / 4.0), 9)) AS BIGINT) AS size FROM (SELECT count(*) AS n FROM customer), range(0, 5) k(i)) s ON rn <= size GROUP BY 1""")
 def prefix_batches(t):
     """Nested prefixes of one order, for geometric sizes; each row meets only the sizes above its place."""
-    sizes = [1, 5, 38, 254, 1500]
+    sizes = numbers.geometric_sizes(t.customer.count(), 5)
     k = F.col("c_custkey")
     r = running(t.customer.select("c_custkey", (k * 7919 % 1511).alias("h")), [F.asc("h"), F.asc("c_custkey")], {"rn": F.lit(1)})
     each = r.withColumn("size", F.explode(F.filter(F.array(*[F.lit(s).cast("long") for s in sizes]), lambda s: s >= F.col("rn"))))

@@ -46,14 +46,15 @@ ENT = f"""{CTX}, cc AS (SELECT token2, left2, right2, count(*) AS k FROM c GROUP
     e AS (SELECT token2, n_obs, n_contexts, CASE WHEN n_obs <= 1 THEN NULL WHEN n_contexts <= 1 THEN 0 ELSE round(h, 6) END AS entropy, h FROM h)"""
 
 
-def trade_edges(t: Tables) -> DataFrame:
-    """Edges from customers' nations to suppliers' nations, for orders of a few parts."""
-    x = t.lineitem.filter("l_quantity >= 49").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-    x = x.filter("c_nationkey <= 17").join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    e = x.filter("l_linenumber = 1 and l_discount <= 0.02").select(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst"))
-    return e.distinct()
+def token_edges(t: Tables) -> DataFrame:
+    """Edges between tokens that follow one another on the circle, of all features: tokens are a type and a number."""
+    from cyclora.operators.circular import circular_neighbours
 
+    k = F.get_json_object("props", "$.k")
+    f = t.events.select(F.col("user_id").alias("container"), F.col("ts").alias("pos"), F.col("event_id").alias("sub"), F.concat("event_type", k).alias("token3"))
+    near = circular_neighbours(f, "container", ORDER, ["token3"])
+    return near.select(F.col("token3").alias("src"), F.col("right_token3").alias("dst")).distinct()
 
-TRADE = """trade AS (SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-    JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-    WHERE l_quantity >= 49 AND l_linenumber = 1 AND l_discount <= 0.02 AND c_nationkey <= 17)"""
+
+GRAPH = """edge AS (SELECT DISTINCT token3 AS src, coalesce(lead(token3) OVER w, first_value(token3) OVER w) AS dst
+    FROM (SELECT user_id, ts, event_id, event_type || json_extract_string(props, '$.k') AS token3 FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""

@@ -2,30 +2,35 @@
 
 from __future__ import annotations
 
+from statistics import fmean
+
 from pyspark.sql import functions as F
 
 from cyclora.operators import best, clustering, cover, graph
 from cyclora.operators.ordering import running
-from cyclora.plans.proxies import NEAR, ORDER, TRADE, features, trade_edges
+from cyclora.plans.proxies import GRAPH, NEAR, ORDER, features, token_edges
 from cyclora.plans.registry import query
+from cyclora.session import durable
 
 
-@query("GRF-1 GRF-2", f"""WITH {TRADE}, b AS (SELECT src AS node, 1 AS o, 0 AS i FROM trade UNION ALL SELECT dst, 0, 1 FROM trade)
+@query("GRF-1 GRF-2", f"""WITH {GRAPH}, b AS (SELECT src AS node, 1 AS o, 0 AS i FROM edge UNION ALL SELECT dst, 0, 1 FROM edge)
     SELECT node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i + o) AS BIGINT) AS degree, round(sum(i + o) / ((SELECT count(DISTINCT node) FROM b) - 1), 6) AS centrality FROM b GROUP BY 1""")
 def graph_degrees(t):
-    return graph.degrees(trade_edges(t))
+    return graph.degrees(token_edges(t))
 
 
-@query("GRF-3", f"WITH {TRADE} SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM trade WHERE src <> dst")
+@query("GRF-3", f"WITH {GRAPH} SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM edge WHERE src <> dst")
 def graph_undirected(t):
-    return graph.undirected(trade_edges(t))
+    return graph.undirected(token_edges(t))
 
 
-_SPARSE = "sp AS (SELECT DISTINCT o_custkey AS src, o_custkey + 1 + o_orderkey % 3 AS dst FROM orders WHERE o_orderkey % 11 = 0)"
+#: Customers in blocks of twenty; each order is an edge to the customer one or two places on, within the block.
+_SPARSE = "sp AS (SELECT DISTINCT o_custkey AS src, o_custkey - o_custkey % 20 + (o_custkey + 1 + o_orderkey % 2) % 20 AS dst FROM orders)"
 
 
 def _sparse(t):
-    return t.orders.filter("o_orderkey % 11 = 0").select(F.col("o_custkey").alias("src"), (F.col("o_custkey") + 1 + F.col("o_orderkey") % 3).alias("dst")).distinct()
+    k = F.col("o_custkey")
+    return t.orders.select(k.alias("src"), (k - k % 20 + (k + 1 + F.col("o_orderkey") % 2) % 20).alias("dst")).distinct()
 
 
 _COMP = f"""{_SPARSE}, u AS (SELECT src AS a, dst AS b FROM sp UNION SELECT dst, src FROM sp), reach(node, other) AS (SELECT a, a FROM u UNION SELECT node, u.b FROM reach JOIN u ON u.a = other),
@@ -44,54 +49,59 @@ def graph_largest_component(t):
     return graph.induced(e, graph.largest_component(e)[0])
 
 
-@query("GRF-11", f"""WITH {TRADE}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM trade WHERE src <> dst), v AS (SELECT a, b FROM u UNION ALL SELECT b, a FROM u),
+@query("GRF-11", f"""WITH {GRAPH}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edge WHERE src <> dst), v AS (SELECT a, b FROM u UNION ALL SELECT b, a FROM u),
     d AS (SELECT a AS node, count(*) AS degree FROM v GROUP BY 1), tr AS (SELECT x.a AS node, count(*) AS n FROM v x JOIN v y ON x.a = y.a AND x.b < y.b JOIN u ON u.a = x.b AND u.b = y.b GROUP BY 1)
     SELECT node, degree, coalesce(n, 0) AS triangles, round(CASE WHEN degree > 1 THEN 2 * coalesce(n, 0) / (degree * (degree - 1)) ELSE 0 END, 6) AS coefficient FROM d LEFT JOIN tr USING (node)""")
 def graph_clustering(t):
-    return graph.clustering(trade_edges(t))
+    return graph.clustering(token_edges(t))
 
 
-@query("GRF-5")
+@query("GRF-5", f"""WITH RECURSIVE {_SPARSE}, u AS (SELECT src AS a, dst AS b FROM sp WHERE src <> dst UNION SELECT dst, src FROM sp WHERE src <> dst), nd AS (SELECT src AS v FROM sp UNION SELECT dst FROM sp),
+    walk(s, v, d, n) AS (SELECT v, v, 0, CAST(1 AS DOUBLE) FROM nd UNION ALL SELECT s, b, d + 1, sum(n) FROM walk JOIN u ON a = v WHERE d < 20 GROUP BY s, b, d + 1),
+    far AS (SELECT s, v, min(d) AS d, arg_min(n, d) AS n FROM walk GROUP BY s, v),
+    part AS (SELECT x.v AS node, sum(x.n * y.n / z.n) AS dep FROM far x JOIN far y ON y.s = x.v JOIN far z ON z.s = x.s AND z.v = y.v WHERE x.d + y.d = z.d AND x.v <> x.s AND x.v <> y.v GROUP BY 1)
+    SELECT v AS node, round(coalesce(dep, 0) / ((SELECT count(*) FROM nd) - 1) / ((SELECT count(*) FROM nd) - 2), 6) AS betweenness FROM nd LEFT JOIN part ON node = v""")
 def graph_betweenness(t):
     return graph.betweenness(_sparse(t))
 
 
-@query("GRF-7", f"""WITH RECURSIVE {TRADE}, u AS (SELECT src AS a, dst AS b FROM trade WHERE src <> dst UNION SELECT dst, src FROM trade WHERE src <> dst), walk(s, node, d) AS (SELECT DISTINCT a, a, 0 FROM u UNION SELECT s, u.b, d + 1 FROM walk JOIN u ON u.a = node WHERE d < 4),
+@query("GRF-7", f"""WITH RECURSIVE {GRAPH}, u AS (SELECT src AS a, dst AS b FROM edge WHERE src <> dst UNION SELECT dst, src FROM edge WHERE src <> dst), walk(s, node, d) AS (SELECT DISTINCT a, a, 0 FROM u UNION SELECT s, u.b, d + 1 FROM walk JOIN u ON u.a = node WHERE d < 14),
     far AS (SELECT s, node, min(d) AS d FROM walk GROUP BY ALL) SELECT s AS node, round((count(*) - 1) / sum(d) * (count(*) - 1) / ((SELECT count(DISTINCT a) FROM u) - 1), 6) AS closeness FROM far GROUP BY 1""")
 def graph_closeness(t):
-    return graph.closeness(trade_edges(t))
+    return graph.closeness(token_edges(t))
 
 
 @query("GRF-6")
 def graph_eigenvector(t):
-    return graph.eigenvector(trade_edges(t), rounds=30)
+    return graph.eigenvector(token_edges(t))
 
 
 @query("GRF-8")
 def graph_hits(t):
-    return graph.hits(trade_edges(t), rounds=15)
+    return graph.hits(token_edges(t))
 
 
 @query("GRF-12 GRF-13 GRF-14")
 def graph_small_world(t):
-    e = trade_edges(t)
+    e = token_edges(t)
     c = graph.clustering(e).agg(F.avg("coefficient")).first()[0]
     length = graph.path_length(e)
-    null = graph.configuration_null(e, 3)
-    one = null.filter("rep = 0").select("src", "dst")
-    cn, ln = graph.clustering(one).agg(F.avg("coefficient")).first()[0], graph.path_length(one)
+    null = durable(graph.configuration_null(e, 5))
+    each = [null.filter(F.col("rep") == r).select("src", "dst") for r in range(5)]
+    cn = fmean(graph.clustering(one).agg(F.avg("coefficient")).first()[0] for one in each)
+    ln = fmean(graph.path_length(one) for one in each)
     u = graph.undirected(e)
     lattice = graph.lattice_clustering(graph.nodes_of(e).count(), u.count())
     s = graph.small_world(c, length, cn, ln, lattice)
     return t.spark.createDataFrame([(c, length, s["sigma"], s["omega"])], "clustering double, path_length double, sigma double, omega double")
 
 
-_CHAIN = "ch AS (SELECT DISTINCT o_custkey AS src, o_custkey + CASE WHEN o_custkey % 9 = 0 THEN 2 ELSE 1 END AS dst FROM orders WHERE o_orderkey % 2 = 0)"
+_CHAIN = "ch AS (SELECT DISTINCT o_custkey AS src, o_custkey + CASE WHEN o_custkey % 9 = 0 THEN 2 ELSE 1 END AS dst FROM orders)"
 
 
 def _chain(t):
     step = F.when(F.col("o_custkey") % 9 == 0, 2).otherwise(1)
-    return t.orders.filter("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("src"), (F.col("o_custkey") + step).alias("dst")).distinct()
+    return t.orders.select(F.col("o_custkey").alias("src"), (F.col("o_custkey") + step).alias("dst")).distinct()
 
 
 @query("GRF-15", f"""WITH RECURSIVE {_CHAIN}, s AS (SELECT dst AS node FROM ch WHERE dst IN (SELECT src FROM ch GROUP BY 1 HAVING count(*) = 1) GROUP BY 1 HAVING count(*) = 1),
@@ -101,7 +111,10 @@ def graph_unbranching_paths(t):
     return graph.unbranching_paths(_chain(t)).select("start", F.element_at("nodes", -1).alias("stop"), "n_nodes")
 
 
-@query("GRF-16")
+@query("GRF-16", f"""WITH RECURSIVE {_CHAIN}, s AS (SELECT dst AS node FROM ch WHERE dst IN (SELECT src FROM ch GROUP BY 1 HAVING count(*) = 1) GROUP BY 1 HAVING count(*) = 1),
+    p(start, node, n) AS (SELECT src, dst, 2 FROM ch WHERE src NOT IN (SELECT node FROM s) AND dst IN (SELECT node FROM s) UNION ALL SELECT start, ch.dst, n + 1 FROM p JOIN ch ON ch.src = p.node WHERE p.node IN (SELECT node FROM s)),
+    q AS (SELECT n FROM p WHERE node NOT IN (SELECT node FROM s)), nd AS (SELECT src AS v FROM ch UNION SELECT dst FROM ch)
+    SELECT count(*) AS n_paths, CAST(max(n) AS BIGINT) AS longest, round(avg(n), 6) AS mean_length, round(coalesce(sum(n - 2), 0) / (SELECT count(*) FROM nd), 6) AS coverage FROM q""")
 def graph_path_stats(t):
     e = _chain(t)
     return graph.path_stats(graph.unbranching_paths(e), graph.nodes_of(e).count())
@@ -109,18 +122,21 @@ def graph_path_stats(t):
 
 @query("GRF-17 GRF-20")
 def graph_configuration_null(t):
-    stats = graph.graph_stats(graph.configuration_null(trade_edges(t), 10), ["rep"])
+    stats = graph.graph_stats(graph.configuration_null(token_edges(t), 100), ["rep"])
     return graph.null_summary(stats, ["node_number", "edge_number", "average_degree"])
 
 
-@query("GRF-18")
+@query("GRF-18", f"WITH {GRAPH} SELECT r.rep, (SELECT count(*) FROM edge) AS edge_number, CAST(0 AS BIGINT) AS loops FROM range(0, 50) r(rep)")
 def graph_gnm_null(t):
-    return graph.graph_stats(graph.gnm_null(trade_edges(t), 5), ["rep"])
+    """What every replicate keeps: the number of edges, all different, and no self-loops."""
+    null = graph.gnm_null(token_edges(t), 50)
+    return null.groupBy("rep").agg(F.count_distinct("src", "dst").alias("edge_number"), F.count_if(F.col("src") == F.col("dst")).alias("loops"))
 
 
-@query("GRF-19")
+@query("GRF-19", f"""WITH {GRAPH}, b AS (SELECT src AS v FROM edge UNION ALL SELECT dst FROM edge), d AS (SELECT v, count(*) AS k FROM b GROUP BY 1), n AS (SELECT count(*) AS n, sum(greatest(0, k - 2)) // 2 AS chords FROM d)
+    SELECT r.rep, CAST(n AS BIGINT) AS node_number, CAST(n + least(chords, n * (n - 2)) AS BIGINT) AS edge_number, round(2 * (n + least(chords, n * (n - 2))) / n, 6) AS average_degree FROM range(0, 50) r(rep), n""")
 def graph_recombination_null(t):
-    return graph.graph_stats(graph.recombination_null(trade_edges(t), 5), ["rep"])
+    return graph.graph_stats(graph.recombination_null(token_edges(t), 50), ["rep"])
 
 
 @query("GRF-21 AGG-3", f"""WITH {NEAR}, ed AS (SELECT DISTINCT CAST(size AS BIGINT) AS size, token2 AS src, right2 AS dst FROM nb JOIN (VALUES (5), (25), (150)) s(size) ON container <= size),
@@ -134,21 +150,20 @@ def graph_stats_by_batch(t):
     return graph.graph_stats(e, ["size"])
 
 
-@query("GRF-22", f"""WITH {TRADE}, b AS (SELECT src AS node FROM trade UNION ALL SELECT dst FROM trade), d AS (SELECT node, count(*) AS degree FROM b GROUP BY 1), q AS (SELECT quantile_cont(degree, 0.99) + 2 AS lim FROM d)
+@query("GRF-22", f"""WITH {GRAPH}, b AS (SELECT src AS node FROM edge UNION ALL SELECT dst FROM edge), d AS (SELECT node, count(*) AS degree FROM b GROUP BY 1), q AS (SELECT quantile_cont(degree, 0.99) + 2 AS lim FROM d)
     SELECT CAST(least(degree, floor(lim)) AS BIGINT) AS bin, count(*) AS n FROM d, q GROUP BY 1""")
 def graph_degree_histogram(t):
     from cyclora.operators.ordering import percentiles
 
-    d = graph.degrees(trade_edges(t))
+    d = graph.degrees(token_edges(t))
     limit = percentiles(d, "degree", [0.99])[0] + 2
     return d.groupBy(F.least(F.col("degree"), F.floor(F.lit(limit))).alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query("GRF-24", "SELECT r1.r_name AS a, r2.r_name AS b, count(*) AS weight FROM trade_ JOIN nation n1 ON src = n1.n_nationkey JOIN nation n2 ON dst = n2.n_nationkey JOIN region r1 ON n1.n_regionkey = r1.r_regionkey JOIN region r2 ON n2.n_regionkey = r2.r_regionkey GROUP BY ALL".replace("trade_ ", f"(WITH {TRADE} SELECT * FROM trade) "))
+@query("GRF-24", f"WITH {GRAPH} SELECT regexp_replace(src, '[0-9]+$', '') AS a, regexp_replace(dst, '[0-9]+$', '') AS b, count(*) AS weight FROM edge GROUP BY ALL")
 def class_weights(t):
-    label = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
-    a, b = label.withColumnsRenamed({"n_nationkey": "src", "r_name": "a"}), label.withColumnsRenamed({"n_nationkey": "dst", "r_name": "b"})
-    return trade_edges(t).join(a, "src").join(b, "dst").groupBy("a", "b").agg(F.count("*").alias("weight"))
+    of = lambda c: F.regexp_replace(c, "[0-9]+$", "")
+    return token_edges(t).groupBy(of("src").alias("a"), of("dst").alias("b")).agg(F.count("*").alias("weight"))
 
 
 @query("CLU-4 CLU-5")
@@ -225,10 +240,10 @@ def non_overlapping_hits_exact(t):
     return best.non_overlapping(f, "container", "start", "stop", "value", ["sub"], exact=True)
 
 
-@query("SEQ-2 SEQ-9", """SELECT p_partkey, coalesce(o.shift, d.shift) AS shift, regexp_matches(p_type, d.pattern) AS fits FROM part JOIN (VALUES ('Brand#11', 1, 'TIN'), ('Brand#12', 2, 'STEEL')) d(brand, shift, pattern) ON brand = p_brand
+@query("SEQ-2 SEQ-9", """SELECT p_partkey, coalesce(o.shift, d.shift) AS shift, regexp_matches(p_type, d.pattern) AS fits FROM part JOIN (VALUES ('Brand#11', 1, 'PROMO'), ('Brand#12', 2, 'ECON|SMALL')) d(brand, shift, pattern) ON brand = p_brand
     LEFT JOIN (VALUES ('Brand#11', 10, 7)) o(brand, size, shift) ON o.brand = p_brand AND o.size = p_size""")
 def context_adjusted_window(t):
-    d = t.spark.createDataFrame([("Brand#11", 1, "TIN"), ("Brand#12", 2, "STEEL")], "p_brand string, base int, pattern string")
+    d = t.spark.createDataFrame([("Brand#11", 1, "PROMO"), ("Brand#12", 2, "ECON|SMALL")], "p_brand string, base int, pattern string")
     o = t.spark.createDataFrame([("Brand#11", 10, 7)], "p_brand string, p_size int, shift int")
     x = t.part.join(F.broadcast(d), "p_brand").join(F.broadcast(o), ["p_brand", "p_size"], "left")
     return x.select("p_partkey", F.coalesce("shift", "base").alias("shift"), F.regexp_like("p_type", F.col("pattern")).alias("fits"))
@@ -236,13 +251,13 @@ def context_adjusted_window(t):
 
 # --- clusters --------------------------------------------------------------------------------------------------------
 
-_SETS = "m AS (SELECT DISTINCT l_orderkey AS c, l_suppkey AS t FROM lineitem WHERE l_orderkey <= 3000)"
+_SETS = "m AS (SELECT DISTINCT l_orderkey AS c, l_suppkey AS t FROM lineitem)"
 
 
 @query("CLU-1", f"""WITH {_SETS}, n AS (SELECT c, count(*) AS n FROM m GROUP BY 1), p AS (SELECT a.c AS a, b.c AS b, count(*) AS k FROM m a JOIN m b USING (t) WHERE a.c < b.c GROUP BY ALL)
     SELECT a, b, round(k / (x.n + y.n - k), 6) AS jaccard FROM p JOIN n x ON x.c = a JOIN n y ON y.c = b WHERE k / (x.n + y.n - k) >= 0.5""")
 def jaccard_pairs(t):
-    m = t.lineitem.filter("l_orderkey <= 3000").select("l_orderkey", "l_suppkey")
+    m = t.lineitem.select("l_orderkey", "l_suppkey")
     return clustering.jaccard_pairs(m, "l_orderkey", "l_suppkey", 0.5)
 
 
