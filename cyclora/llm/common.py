@@ -45,11 +45,10 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), F.octet_length(F.coalesce(text, F.lit(""))))
 
 
-def small(df: DataFrame, size: Column | None = None) -> DataFrame:
-    """Marks a table of a few numbers a row, or of `size` of them, for broadcast if it has been counted to be small; what joins
-    it is shuffled otherwise."""
-    n = df.count() if size is None else df.agg(F.sum(size)).first()[0] or 0
-    return F.broadcast(df) if n <= FEW_ROWS else df
+def small(df: DataFrame) -> DataFrame:
+    """Marks a table of a few numbers a row for broadcast if it has been counted to be small; what joins it is shuffled
+    otherwise."""
+    return F.broadcast(df) if df.count() <= FEW_ROWS else df
 
 
 def free(columns: list[str], name: str) -> str:

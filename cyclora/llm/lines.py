@@ -9,7 +9,7 @@ stays with an empty text.
 
 The windows are written once. A hot window is one row in the table of repeated windows, whose heads are found before the
 shuffle; that table is written before it is joined, so that both sides of the join are plain shuffles and Spark can split a
-hot window's rows. Texts are shuffled only where the spans to remove are too many to be broadcast.
+hot window's rows. Texts are shuffled once, to the spans that they lose.
 
 Nulls: a null text stays null. Rows of one id and text are one document and change alike. A null id sorts first. Extra
 columns are kept; where one has the name of a report column, the report's is named n_lines_2 and so on. Empty tables give
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cyclora.llm.common import durable, free, small, text_key
+from cyclora.llm.common import durable, free, text_key
 
 SIZE = 3
 
@@ -68,7 +68,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     line_id, line_key, line_spans, n_lines, n_removed = names
     gone = covered(docs, doc_id, text, size).select(F.col("id").alias(line_id), F.col("key").alias(line_key), F.col("spans").alias(line_spans))
     same = F.col(doc_id).eqNullSafe(F.col(line_id)) & (text_key(F.col(text)) == F.col(line_key))
-    joined = docs.join(small(durable(gone), F.size(line_spans) + 1), same, "left")
+    joined = docs.join(gone.hint("shuffle_hash"), same, "left")
     new = F.when(F.col(line_spans).isNotNull(), without(F.col(text), F.col(line_spans))).otherwise(F.col(text))
     if not report:
         return joined.withColumn(text, new).select(docs.columns)
