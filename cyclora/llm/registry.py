@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-from cyclora.llm import decontamination, html_text, language, licenses, lines, media, mixing, quality, simhash, url_rules
+from cyclora.llm import decontamination, html_text, language, licenses, lines, media, mixing, pipeline, quality, simhash, url_rules
 from cyclora.llm.common import read
 
 
@@ -65,7 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_media": op9_media,
     "op10_url_rules": op10_url_rules,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op2_licenses": licenses.oracle_sql(),
