@@ -1,62 +1,5 @@
-"""The corpus pipeline: quality classifier, line dedup, SimHash near-dedup, benchmark decontamination, source mixing.
+"""The corpus pipeline: quality classifier, line dedup, SimHash near-dedup, benchmark decontamination, source mixing."""
 
-Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and calls one operator. All but the
-last return the columns of `documents`; the last gives each document's row as often as it is taken, with `copy` from 1.
-Nulls, ties, repeated rows, empty tables and extra columns are handled as the operators say.
-"""
+from cyclora.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from cyclora.llm import decontamination, lines, mixing, near_copies, quality
-from cyclora.llm.common import durable, read
-
-
-def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
-    return quality.keep_good(docs, quality.train(docs, read(spark, sf_dir, "labels")))
-
-
-def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of repeated three-line windows go from the texts; n_chars is counted anew."""
-    kind = docs.schema["n_chars"].dataType
-    return lines.dedup_lines(docs).withColumn("n_chars", F.length("text").cast(kind))
-
-
-def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts with five-word Jaccard of 0.8 or more the document with the smallest id stays."""
-    return near_copies.one_of_each(docs)
-
-
-def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents contaminated by the benchmark go."""
-    return decontamination.keep_clean(docs, read(spark, sf_dir, "benchmark"))
-
-
-def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix by source weights."""
-    return mixing.mix(docs)
-
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality classifier", good_quality),
-    ("line dedup", new_lines),
-    ("simhash near-dedup", one_of_near_copies),
-    ("benchmark decontamination", uncontaminated),
-    ("mixing sources", mixed),
-]
-
-#: A learnt classifier, fingerprints and random rounding are no SQL; tests hold each stage against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after another; what a stage returns is written to the shared folder before the next reads it."""
-    docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
