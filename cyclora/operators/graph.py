@@ -208,16 +208,17 @@ def path_length(edges: DataFrame, sources: int = 500, seed: int = 42) -> float |
     return r["t"] / r["k"] if r["k"] else None
 
 
-def _power(edges: DataFrame, step, start: DataFrame, rounds: int, tolerance: float) -> DataFrame:
-    """Repeats x -> step(x), each round written, until no node moves on average by more than the tolerance."""
+def _power(edges: DataFrame, step, start: DataFrame, rounds: int, tolerance: float) -> tuple[DataFrame, bool]:
+    """Repeats x -> step(x), each round written, until no node moves on average by more than the tolerance; and whether that
+    came about within the rounds."""
     x, n = durable(start), start.count()
     for _ in range(rounds):
         new = durable(step(x))
         moved = new.join(x.withColumnsRenamed({"value": "old"}), "node").agg(F.sum(F.abs(F.col("value") - F.col("old")))).first()[0] or 0.0
         x = new
         if moved < n * tolerance:
-            break
-    return x
+            return x, True
+    return x, n == 0
 
 
 def _scaled(sums: DataFrame, norm: str) -> DataFrame:
@@ -226,7 +227,8 @@ def _scaled(sums: DataFrame, norm: str) -> DataFrame:
 
 
 def eigenvector(edges: DataFrame, rounds: int = 1000, tolerance: float = 1e-6) -> DataFrame:
-    """(node, eigenvector) of the undirected graph by power iteration on A + I."""
+    """(node, eigenvector) of the undirected graph by power iteration on A + I; if it does not settle within the rounds, each
+    node's degree over the largest one."""
     e = undirected(edges)
     both = durable(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
     nodes = nodes_of(edges)
@@ -236,7 +238,11 @@ def eigenvector(edges: DataFrame, rounds: int = 1000, tolerance: float = 1e-6) -
         sent = both.join(x, F.col("src") == x.node).select(F.col("dst").alias("node"), "value")
         return _scaled(sent.unionByName(x).groupBy("node").agg(F.sum("value").alias("value")), "length")
 
-    x = _power(edges, step, nodes.withColumn("value", F.lit(1.0 / max(1, n))), rounds, tolerance)
+    x, settled = _power(edges, step, nodes.withColumn("value", F.lit(1.0 / max(1, n))), rounds, tolerance)
+    if not settled:
+        degree = nodes.join(both.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("d")), "node", "left").withColumn("d", F.coalesce("d", F.lit(0)))
+        most = degree.agg(F.greatest(F.max("d"), F.lit(1)).alias("most"))
+        x = degree.join(F.broadcast(most)).select("node", (F.col("d") / F.col("most")).alias("value"))  # one row
     return x.select("node", F.round("value", 4).alias("eigenvector"))
 
 
@@ -254,7 +260,7 @@ def hits(edges: DataFrame, rounds: int = 100, tolerance: float = 1e-8) -> DataFr
         h = e.join(a, e.dst == a.node).groupBy(F.col("src").alias("node")).agg(F.sum("value").alias("value"))
         return _scaled(nodes.join(h, "node", "left").select("node", F.coalesce("value", F.lit(0.0)).alias("value")), "sum")
 
-    hub = _power(e, step, nodes.withColumn("value", F.lit(1.0 / n)), rounds, tolerance)
+    hub, _ = _power(e, step, nodes.withColumn("value", F.lit(1.0 / n)), rounds, tolerance)
     a = _scaled(authority(hub), "sum").withColumnRenamed("value", "a")
     return hub.join(a, "node", "left").select("node", F.round("value", 6).alias("hub"), F.round(F.coalesce("a", F.lit(0.0)), 6).alias("authority"))
 
@@ -300,6 +306,35 @@ def graph_stats(edges: DataFrame, keys: list[str]) -> DataFrame:
     return n.join(e, keys).select(*keys, "node_number", "edge_number", F.round(2 * F.col("edge_number") / F.col("node_number"), 6).alias("average_degree"))
 
 
+def shuffles(containers: DataFrame, container: str, runs: int, seed: int = 42, draw: Column | None = None) -> DataFrame:
+    """(run, container, place): the containers in a random order for each run, places from 1. draw: what to order by
+    (a column of `run` and the container) in place of a hash."""
+    x = containers.select(container).distinct().withColumn("run", _replicates(runs))
+    x = x.withColumn("_r", _random(seed, F.col("run"), F.col(container)) if draw is None else draw)
+    placed = running(x, [F.asc(c) for c in ("run", "_r", container)], {"place": F.lit(1)})
+    begin = placed.groupBy("run").agg(F.min("place").alias("_b"))
+    return placed.join(F.broadcast(begin), "run").select("run", container, (F.col("place") - F.col("_b") + 1).alias("place"))  # a row a run
+
+
+def stats_by_batch(edges: DataFrame, container: str, places: DataFrame, sizes: list[int]) -> DataFrame:
+    """(run, size, node_number, edge_number, average_degree) of the graph of the first `size` containers in each run's order.
+    edges: (container, src, dst). An edge or node counts from the first container that brings it, so it is met once a run
+    and not once a size."""
+    x = durable(edges.select(container, "src", "dst").distinct().join(places, container).groupBy("run", "src", "dst").agg(F.min("place").alias("place")))
+    nodes = x.select("run", "place", F.explode(F.array("src", "dst")).alias("node")).groupBy("run", "node").agg(F.min("place").alias("place"))
+    stops = F.array(*[F.lit(s).cast("long") for s in sizes])
+
+    def counted(rows: DataFrame, name: str) -> DataFrame:
+        first = F.get(F.filter(stops, lambda s: s >= F.col("place")), F.lit(0))
+        return rows.groupBy("run", first.alias("size")).agg(F.count("*").alias(name))
+
+    axis = places.select("run").distinct().withColumn("size", F.explode(stops))
+    up_to = Window.partitionBy("run").orderBy("size")  # as many rows as sizes
+    both = axis.join(counted(nodes, "n"), ["run", "size"], "left").join(counted(x, "e"), ["run", "size"], "left")
+    grown = both.select("run", "size", *[F.coalesce(F.sum(c).over(up_to), F.lit(0)).alias(name) for c, name in (("n", "node_number"), ("e", "edge_number"))])
+    return grown.withColumn("average_degree", F.when(F.col("node_number") > 0, 2 * F.col("edge_number") / F.col("node_number")).otherwise(0.0))
+
+
 # --- null models ---------------------------------------------------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from cyclora.functions import text
+from cyclora.operators.graph import nodes_of
 from cyclora.plans.registry import query
 from cyclora.session import shared_folder
 from cyclora.sources import readers, sinks
@@ -78,6 +79,16 @@ def latest_batch(t):
     return readers.latest_batch(t.spark.read.parquet(at), "batch").select("src", "dst", "batch")
 
 
+@query("SRC-15 SNK-3", """SELECT CAST(n_nationkey AS VARCHAR) AS src, CAST(n_regionkey AS VARCHAR) AS dst, n_name || ' & <"' || CAST(n_regionkey AS VARCHAR) || '">' AS label, 10 AS batch FROM nation""")
+def graph_documents(t):
+    """Two GraphML documents, of which the one with the larger number comes back."""
+    at = _new(t)
+    e = t.nation.select(F.col("n_nationkey").alias("src"), F.col("n_regionkey").alias("dst"), F.concat("n_name", F.lit(' & <"'), F.col("n_regionkey").cast("string"), F.lit('">')).alias("label"))
+    for number, part in ((9, e.filter("dst = 0")), (10, e)):
+        sinks.graph_xml_file(nodes_of(part), part, f"{at}/{number}_network.graphml")
+    return readers.latest_graph(t.spark, at, "_network.graphml", ["label"]).select("src", "dst", "label", F.col("batch").cast("int").alias("batch"))
+
+
 @query("SRC-19", "SELECT n_nationkey, length(n_name) AS v FROM nation")
 def cached_lookup(t):
     at = _new(t)

@@ -46,14 +46,19 @@ ENT = f"""{CTX}, cc AS (SELECT token2, left2, right2, count(*) AS k FROM c GROUP
     e AS (SELECT token2, n_obs, n_contexts, CASE WHEN n_obs <= 1 THEN NULL WHEN n_contexts <= 1 THEN 0 ELSE round(h, 6) END AS entropy, h FROM h)"""
 
 
-def token_edges(t: Tables) -> DataFrame:
-    """Edges between tokens that follow one another on the circle, of all features: tokens are a type and a number."""
+def container_edges(t: Tables) -> DataFrame:
+    """(container, src, dst) of tokens that follow one another on the circle, of all features: tokens are a type and a number."""
     from cyclora.operators.circular import circular_neighbours
 
     k = F.get_json_object("props", "$.k")
     f = t.events.select(F.col("user_id").alias("container"), F.col("ts").alias("pos"), F.col("event_id").alias("sub"), F.concat("event_type", k).alias("token3"))
     near = circular_neighbours(f, "container", ORDER, ["token3"])
-    return near.select(F.col("token3").alias("src"), F.col("right_token3").alias("dst")).distinct()
+    return near.select("container", F.col("token3").alias("src"), F.col("right_token3").alias("dst"))
+
+
+def token_edges(t: Tables) -> DataFrame:
+    """The edges of all containers, once each."""
+    return container_edges(t).select("src", "dst").distinct()
 
 
 GRAPH = """edge AS (SELECT DISTINCT token3 AS src, coalesce(lead(token3) OVER w, first_value(token3) OVER w) AS dst

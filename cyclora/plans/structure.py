@@ -6,9 +6,10 @@ from statistics import fmean
 
 from pyspark.sql import functions as F
 
+from cyclora.functions.numbers import geometric_sizes
 from cyclora.operators import best, clustering, cover, graph
 from cyclora.operators.ordering import running
-from cyclora.plans.proxies import GRAPH, NEAR, ORDER, features, token_edges
+from cyclora.plans.proxies import FEATURES, GRAPH, NEAR, ORDER, container_edges, features, token_edges
 from cyclora.plans.registry import query
 from cyclora.session import durable
 
@@ -71,12 +72,22 @@ def graph_closeness(t):
     return graph.closeness(token_edges(t))
 
 
-@query("GRF-6")
+@query("GRF-6", f"""WITH RECURSIVE {GRAPH}, u AS (SELECT src AS a, dst AS b FROM edge WHERE src <> dst UNION SELECT dst, src FROM edge WHERE src <> dst), nd AS (SELECT src AS node FROM edge UNION SELECT dst FROM edge), k AS (SELECT count(*) AS n FROM nd),
+    p(i, node, x, moved) AS (SELECT 0, node, CAST(1 AS DOUBLE) / n, CAST(1e9 AS DOUBLE) FROM nd, k UNION ALL
+        SELECT i, node, y, sum(abs(y - x)) OVER () FROM (SELECT i, node, x, v / sqrt(sum(v * v) OVER ()) AS y FROM (SELECT i + 1 AS i, node, sum(own) AS x, sum(v) AS v FROM
+            (SELECT i, node, x AS own, x AS v FROM p, k WHERE moved >= n * 1e-6 AND i < 1000 UNION ALL SELECT i, b, 0, x FROM p JOIN u ON a = node, k WHERE moved >= n * 1e-6 AND i < 1000) GROUP BY ALL)))
+    SELECT node, round(x, 4) AS eigenvector FROM p WHERE i = (SELECT max(i) FROM p)""")
 def graph_eigenvector(t):
     return graph.eigenvector(token_edges(t))
 
 
-@query("GRF-8")
+@query("GRF-8", f"""WITH RECURSIVE {GRAPH}, nd AS (SELECT src AS node FROM edge UNION SELECT dst FROM edge), k AS (SELECT count(*) AS n FROM nd),
+    p(i, node, x, moved) AS (SELECT 0, node, CAST(1 AS DOUBLE) / n, CAST(1e9 AS DOUBLE) FROM nd, k UNION ALL
+        SELECT i, node, y, sum(abs(y - x)) OVER () FROM (SELECT i, node, x, v / sum(v) OVER () AS y FROM (SELECT i, node, sum(own) AS x, sum(v) AS v FROM
+            (SELECT i + 1 AS i, node, x AS own, 0 AS v FROM p, k WHERE moved >= n * 1e-8 AND i < 100
+             UNION ALL SELECT i + 1, e.src, 0, s FROM (SELECT i, dst, sum(x) AS s FROM p JOIN edge ON src = node, k WHERE moved >= n * 1e-8 AND i < 100 GROUP BY ALL) a JOIN edge e ON e.dst = a.dst) GROUP BY ALL))),
+    hub AS (SELECT node, x FROM p WHERE i = (SELECT max(i) FROM p)), au AS (SELECT dst AS node, sum(x) AS s FROM hub JOIN edge ON src = node GROUP BY 1)
+    SELECT node, round(x, 6) AS hub, round(coalesce(s, 0) / (SELECT sum(s) FROM au), 6) AS authority FROM hub LEFT JOIN au USING (node)""")
 def graph_hits(t):
     return graph.hits(token_edges(t))
 
@@ -150,6 +161,23 @@ def graph_stats_by_batch(t):
     return graph.graph_stats(e, ["size"])
 
 
+@query("GRF-21 AGG-3 WIN-18", """WITH x AS (SELECT user_id AS container, event_type || json_extract_string(props, '$.k') AS token3, ts, event_id FROM events),
+    ed AS (SELECT DISTINCT container, token3 AS src, coalesce(lead(token3) OVER w, first_value(token3) OVER w) AS dst FROM x WINDOW w AS (PARTITION BY container ORDER BY ts, event_id)),
+    c AS (SELECT DISTINCT container FROM x), pl AS (SELECT run, container, row_number() OVER (PARTITION BY run ORDER BY (container * 7919 + run * 104729) % 15013, container) AS place FROM c, range(0, 10) r(run)),
+    sz AS (SELECT DISTINCT CAST(floor(round(pow(n, i / 99.0), 9)) AS BIGINT) AS size FROM (SELECT count(*) AS n FROM c), range(0, 100) k(i)),
+    e AS (SELECT run, src, dst, min(place) AS place FROM ed JOIN pl USING (container) GROUP BY ALL), nd AS (SELECT run, node, min(place) AS place FROM (SELECT run, src AS node, place FROM e UNION ALL SELECT run, dst, place FROM e) GROUP BY ALL),
+    ec AS (SELECT run, size, count(*) AS en FROM e JOIN sz ON place <= size GROUP BY ALL), nc AS (SELECT run, size, count(*) AS nn FROM nd JOIN sz ON place <= size GROUP BY ALL)
+    SELECT size, round(avg(nn), 6) AS node_number_mean, round(avg(en), 6) AS edge_number_mean, round(avg(2 * en / nn), 6) AS average_degree_mean, round(stddev_samp(en), 6) AS edge_number_std FROM ec JOIN nc USING (run, size) GROUP BY 1""")
+def graph_stats_over_runs(t):
+    """Means over ten orders of the containers, for a hundred geometric sizes."""
+    e = durable(container_edges(t).distinct())
+    sizes = geometric_sizes(e.select("container").distinct().count(), 100)
+    draw = (F.col("container") * 7919 + F.col("run") * 104729) % 15013
+    s = graph.stats_by_batch(e, "container", durable(graph.shuffles(e, "container", 10, draw=draw)), sizes)
+    means = [F.round(F.avg(c), 6).alias(f"{c}_mean") for c in ("node_number", "edge_number", "average_degree")]
+    return s.groupBy("size").agg(*means, F.round(F.stddev_samp("edge_number"), 6).alias("edge_number_std"))
+
+
 @query("GRF-22", f"""WITH {GRAPH}, b AS (SELECT src AS node FROM edge UNION ALL SELECT dst FROM edge), d AS (SELECT node, count(*) AS degree FROM b GROUP BY 1), q AS (SELECT quantile_cont(degree, 0.99) + 2 AS lim FROM d)
     SELECT CAST(least(degree, floor(lim)) AS BIGINT) AS bin, count(*) AS n FROM d, q GROUP BY 1""")
 def graph_degree_histogram(t):
@@ -179,7 +207,34 @@ def _members(t):
     return t.lineitem.select("l_suppkey", "l_partkey").distinct()
 
 
-@query("SEQ-12 SEQ-15")
+def _cover_sql(members: str) -> str:
+    """Greedy covers as recursion over bit strings; members: (scope, l_suppkey, l_partkey), parts below 200,000."""
+    return f"""WITH RECURSIVE m AS (SELECT DISTINCT * FROM ({members})), s AS (SELECT scope, l_suppkey, count(*) AS n, bitstring_agg(l_partkey, 0, 199999) AS b FROM m GROUP BY ALL),
+    g(scope, step, l_suppkey, gain, cov) AS (SELECT DISTINCT scope, 0, CAST(NULL AS BIGINT), CAST(0 AS BIGINT), bitstring('0', 200000) FROM s UNION ALL
+        SELECT scope, step, l_suppkey, gain, cov FROM (SELECT s.scope, step + 1 AS step, s.l_suppkey, CAST(bit_count(b & ~cov) AS BIGINT) AS gain, cov | b AS cov, n FROM g JOIN s ON s.scope = g.scope WHERE bit_count(b & ~cov) > 0)
+        QUALIFY row_number() OVER (PARTITION BY scope ORDER BY gain DESC, n DESC, l_suppkey) = 1)"""
+
+
+_BY_BRAND = "SELECT p_brand AS scope, l_suppkey, l_partkey FROM lineitem JOIN part ON p_partkey = l_partkey UNION ALL SELECT 'all', l_suppkey, l_partkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_brand IS NOT NULL"
+
+
+def _by_brand(t):
+    return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("scope"), "l_suppkey", "l_partkey")
+
+
+@query("SEQ-15", f"{_cover_sql(_BY_BRAND)} SELECT scope, step, l_suppkey, gain FROM g WHERE step > 0")
+def cover_by_scope(t):
+    return cover.cover_by_scope(_by_brand(t), "scope", "l_suppkey", "l_partkey")
+
+
+@query("SEQ-15", f"""{_cover_sql(_BY_BRAND)}, c AS (SELECT * FROM g WHERE step > 0), have AS (SELECT scope, count(DISTINCT l_partkey) AS n_elements, count(DISTINCT l_suppkey) AS n_sets FROM m GROUP BY 1)
+    SELECT scope, any_value(n_elements) AS n_elements, any_value(n_sets) AS n_sets, count(*) AS n_picked, round(max(gain) / any_value(n_elements), 6) AS first_share, CAST(count_if(l_suppkey IN (SELECT l_suppkey FROM c WHERE scope = 'all')) AS BIGINT) AS in_whole FROM c JOIN have USING (scope) GROUP BY 1""")
+def cross_scope_summary(t):
+    m = durable(_by_brand(t).distinct())
+    return cover.cross_scope_summary(m, cover.cover_by_scope(m, "scope", "l_suppkey", "l_partkey"), "scope", "l_suppkey", "l_partkey")
+
+
+@query("SEQ-12", f"{_cover_sql("SELECT 'all' AS scope, l_suppkey, l_partkey FROM lineitem")} SELECT step, l_suppkey, gain FROM g WHERE step > 0")
 def greedy_cover(t):
     return cover.greedy_cover(_members(t), "l_suppkey", "l_partkey")
 
@@ -196,7 +251,8 @@ def coverage_curve(t):
     return cover.coverage_curve(m, ranks, "l_suppkey", "l_partkey", "rank")
 
 
-@query("SEQ-13")
+#: Sets taken away because they were picked, and sets never there, leave the same covers.
+@query("SEQ-13", f"{_cover_sql("SELECT 'all' AS scope, l_suppkey, l_partkey FROM lineitem WHERE l_suppkey % 10 <> 0")} SELECT step, l_suppkey, gain FROM g WHERE step > 0")
 def cover_fixpoint(t):
     c, _ = cover.cover_to_fixpoint(_members(t), "l_suppkey", "l_partkey", lambda x: x.filter("l_suppkey % 10 = 0"))
     return c
@@ -228,7 +284,11 @@ def lost_elements(t):
     return cover.lost_elements(x, x.filter("l_quantity >= 45"), "l_partkey", [F.desc("l_quantity"), F.asc("l_suppkey")])
 
 
-@query("AGG-14")
+@query("AGG-14", f"""WITH RECURSIVE {FEATURES}, r AS (SELECT container, sub, start, stop, value, row_number() OVER (PARTITION BY container ORDER BY value DESC, sub) AS rn FROM f),
+    g(container, rn, kept, taken) AS (SELECT DISTINCT container, CAST(0 AS BIGINT), false, CAST([] AS STRUCT(a BIGINT, b BIGINT)[]) FROM r UNION ALL
+        SELECT container, rn, free, CASE WHEN free THEN list_append(taken, {{'a': start, 'b': stop}}) ELSE taken END FROM
+            (SELECT r.container, r.rn, r.start, r.stop, g.taken, len(list_filter(g.taken, lambda x: x.a <= r.stop AND x.b >= r.start)) = 0 AS free FROM g JOIN r ON r.container = g.container AND r.rn = g.rn + 1))
+    SELECT r.container, sub, start, stop, value FROM g JOIN r USING (container, rn) WHERE kept""")
 def non_overlapping_hits(t):
     f = features(t).select("container", "sub", "start", "stop", "value")
     return best.non_overlapping(f, "container", "start", "stop", "value", ["sub"])
@@ -261,7 +321,13 @@ def jaccard_pairs(t):
     return clustering.jaccard_pairs(m, "l_orderkey", "l_suppkey", 0.5)
 
 
-@query("CLU-2")
+@query("CLU-2", f"""WITH RECURSIVE {_SETS}, n AS (SELECT c, count(*) AS n FROM m GROUP BY 1), p AS (SELECT a.c AS a, b.c AS b, count(*) AS k FROM m a JOIN m b USING (t) WHERE a.c < b.c GROUP BY ALL),
+    e AS (SELECT a, b FROM p JOIN n x ON x.c = a JOIN n y ON y.c = b WHERE k / (x.n + y.n - k) >= 0.5), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+    lab(i, node, low, moved) AS (SELECT 0, a, a, true FROM (SELECT DISTINCT a FROM u) UNION ALL
+        SELECT i, node, new, bool_or(new < low) OVER () FROM (SELECT i, node, max(own) AS low, min(l) AS new FROM
+            (SELECT i + 1 AS i, node, low AS own, low AS l FROM lab WHERE moved UNION ALL SELECT i + 1, b, NULL, low FROM lab JOIN u ON a = node WHERE moved) GROUP BY ALL)),
+    comp AS (SELECT node, low FROM lab WHERE i = (SELECT max(i) FROM lab)), big AS (SELECT low, row_number() OVER (ORDER BY count(*) DESC, low) - 1 AS cluster FROM comp GROUP BY 1 HAVING count(*) >= 3)
+    SELECT l_orderkey, CAST(coalesce(cluster, -1) AS INTEGER) AS cluster FROM (SELECT DISTINCT l_orderkey FROM lineitem) LEFT JOIN comp ON node = l_orderkey LEFT JOIN big USING (low)""")
 def threshold_clusters(t):
     m = t.lineitem.select("l_orderkey", "l_suppkey")
     return clustering.threshold_clusters(m, "l_orderkey", "l_suppkey", 0.5, 3)

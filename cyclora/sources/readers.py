@@ -1,7 +1,9 @@
-"""Readers: Parquet, delimited text, domain tables, FASTA, nested JSON, directory listings, batches."""
+"""Readers: Parquet, delimited text, domain tables, FASTA, nested JSON, directory listings, batches, GraphML."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +93,24 @@ def latest_batch(edges: DataFrame, batch: str) -> DataFrame:
     return edges.filter(F.col(batch) == F.lit(last))
 
 
+def graph_xml(spark: SparkSession, path: str, attributes: list[str]) -> DataFrame:
+    """(id, src, dst, attributes) of the edges of GraphML documents; data that an edge lacks is null."""
+    shape = "_id string, _source string, _target string, data array<struct<_key: string, _VALUE: string>>"
+    x = spark.read.format("xml").option("rowTag", "edge").option("ignoreSurroundingSpaces", False).schema(shape).load(path)
+    value = lambda a: F.get(F.filter("data", lambda d: d["_key"] == a), F.lit(0))["_VALUE"]
+    return x.select(F.col("_id").alias("id"), F.col("_source").alias("src"), F.col("_target").alias("dst"), *[value(a).alias(a) for a in attributes])
+
+
+def latest_graph(spark: SparkSession, folder: str, suffix: str, attributes: list[str]) -> DataFrame:
+    """The edges of the GraphML document `<number><suffix>` in a folder whose number is the largest, with it as `batch`;
+    contents of the others are not read."""
+    names = spark.read.format("binaryFile").load(f"{folder}/*{suffix}").select(F.regexp_extract("path", r"/(\d+)" + re.escape(suffix), 1).cast("long").alias("n"))
+    last = names.agg(F.max("n")).first()[0]
+    if last is None:
+        raise FileNotFoundError(f"{folder}/*{suffix}")
+    return graph_xml(spark, f"{folder}/{last}{suffix}", attributes).withColumn("batch", F.lit(last))
+
+
 def cached_lookup(spark: SparkSession, wanted: DataFrame, cache_path: str, key: str, compute) -> DataFrame:
     """Wanted keys with their values from a Parquet cache; missing ones are computed and added to it."""
     try:

@@ -216,6 +216,24 @@ def test_cover_is_greedy_and_complete(spark):
     assert [r.new for r in curve] == [g for *_, g in want] and curve[-1].covered == len({e for _, e in members})
 
 
+def test_covers_of_scopes(spark):
+    rng = random.Random(21)
+    rows = sorted({(rng.choice("xyz"), rng.randrange(12), rng.randrange(30)) for _ in range(150)})
+    d = spark.createDataFrame([*rows, rows[0], (None, 1, 2), ("x", None, 3)], "s string, k long, e long")
+    got = cover.cover_by_scope(d, "s", "k", "e")
+    for scope in ("x", "y", "z", "all"):
+        own = spark.createDataFrame([r[1:] for r in rows if scope in ("all", r[0])], "k long, e long")
+        one = cover.greedy_cover(own, "k", "e").orderBy("step").collect()
+        assert [tuple(r) for r in got.filter(F.col("s") == scope).orderBy("step").select("step", "k", "gain").collect()] == [tuple(r) for r in one]
+    assert got.select("s").distinct().count() == 4
+    whole = {r.k for r in got.filter("s = 'all'").collect()}
+    for r in cover.cross_scope_summary(d, got, "s", "k", "e").collect():
+        own, picks = [x for x in rows if r.s in ("all", x[0])], got.filter(F.col("s") == r.s).orderBy("step").collect()
+        assert (r.n_elements, r.n_sets, r.n_picked) == (len({x[2] for x in own}), len({x[1] for x in own}), len(picks))
+        assert r.first_share == round(picks[0].gain / r.n_elements, 6) and r.in_whole == len(whole & {p.k for p in picks})
+    assert cover.cover_by_scope(d.limit(0), "s", "k", "e").count() == 0
+
+
 def test_fixpoint_leaves_bad_sets_out(spark):
     d = spark.createDataFrame([(0, 1), (0, 2), (1, 1), (2, 2), (2, 3)], "k long, e long")
     c, left = cover.cover_to_fixpoint(d, "k", "e", lambda x: x.filter("k = 0"))
@@ -284,6 +302,29 @@ def test_null_models_keep_what_they_should(spark):
         assert r.m == n + budget // 2
 
 
+def test_statistics_of_growing_batches(spark):
+    rng = random.Random(22)
+    rows = [(rng.randrange(9), rng.randrange(6), rng.randrange(6)) for _ in range(60)]
+    e = spark.createDataFrame(rows, "c long, src long, dst long")
+    places = graph.shuffles(e, "c", 3)
+    at = {(r.run, r.c): r.place for r in places.collect()}
+    n = len({c for c, *_ in rows})
+    assert all(sorted(p for (run, _), p in at.items() if run == k) == list(range(1, n + 1)) for k in range(3))
+    assert at == {(r.run, r.c): r.place for r in graph.shuffles(e, "c", 3).collect()}
+    got = {(r.run, r.size): (r.node_number, r.edge_number, r.average_degree) for r in graph.stats_by_batch(e, "c", places, [1, 4, n]).collect()}
+    for run in range(3):
+        for size in (1, 4, n):
+            pairs = {(a, b) for c, a, b in rows if at[run, c] <= size}
+            nodes = {x for p in pairs for x in p}
+            assert got[run, size] == (len(nodes), len(pairs), pytest.approx(2 * len(pairs) / len(nodes)))
+    assert graph.stats_by_batch(e.limit(0), "c", graph.shuffles(e.limit(0), "c", 3), [1]).count() == 0
+
+
+def test_what_does_not_settle_falls_back_to_degrees(spark):
+    e = edges(spark, [(0, 1), (0, 2), (1, 2), (2, 3)])
+    assert values(graph.eigenvector(e, rounds=1), "node", "eigenvector") == {0: 0.6667, 1: 0.6667, 2: 1.0, 3: 0.3333}
+
+
 def test_communities_of_two_cliques(spark):
     pairs = [*combinations(range(6), 2), *combinations(range(10, 16), 2), (0, 10)]
     e = edges(spark, pairs)

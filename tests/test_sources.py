@@ -86,6 +86,23 @@ def test_sinks(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "r")).collect()] == ["a: 2", "b: 1"]
 
 
+def test_graph_documents(spark, tmp_path):
+    rows = [("a", "b&", ' x <"y"> & \n z'), ("b&", "a", None), ("a", "b&", ""), ("a", "ä\u4e2d", "1")]
+    e = spark.createDataFrame(rows, "src string, dst string, label string")
+    nodes = e.selectExpr("explode(array(src, dst)) AS node").distinct()
+    for n in (9, 10):
+        sinks.graph_xml_file(nodes, e.filter(f"{n} = 10 or src = 'a'"), str(tmp_path / f"{n}_g.graphml"))
+    got = readers.latest_graph(spark, str(tmp_path), "_g.graphml", ["label"]).collect()
+    blank = lambda x: x or None  # noqa: E731  an empty element and none read alike
+    assert sorted((r.src, r.dst, str(blank(r.label))) for r in got) == sorted((a, b, str(blank(c))) for a, b, c in rows)
+    assert {r.batch for r in got} == {10} and len({r.id for r in got}) == len(rows)
+    import xml.etree.ElementTree as xml
+
+    (part,) = (tmp_path / "10_g.graphml").glob("part-*")
+    root = xml.fromstring(part.read_text())
+    assert [x.tag.split("}")[1] for x in root] == ["key", "graph"] and len(root[1]) == 3 + len(rows)
+
+
 def test_sequences(spark):
     d = spark.createDataFrame([("x", "GGNGGGGTCAGG"), ("y", "")], "k string, s string")
     assert d.select(sequence.reverse_complement(F.col("s")).alias("r")).first().r == "CCTGACCCCNCC"
