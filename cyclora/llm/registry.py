@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cyclora.llm import decontamination, html_text, language, licenses, lines, media, mixing, pipeline, quality, simhash, url_rules
+from cyclora.llm import decontamination, html_text, language, licenses, lines, media, mixing, pipeline, quality, resampling, secrets, simhash, url_rules, whitening
 from cyclora.llm.common import read
 
 
@@ -53,6 +53,18 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(read(spark, sf_dir, "pages"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_licenses": op2_licenses,
@@ -64,10 +76,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_media": op9_media,
     "op10_url_rules": op10_url_rules,
+    "op11_resample": op11_resample,
+    "op12_whiten": op12_whiten,
+    "op13_secrets": op13_secrets,
     "pipeline": pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op2_licenses": licenses.oracle_sql(),
     "op3_decontaminate": decontamination.ORACLE_SQL,
     "op4_line_dedup": lines.ORACLE_SQL,
+    "op11_resample": resampling.oracle_sql(),
 }
