@@ -2,14 +2,17 @@
 
 A page becomes a tree of elements, without what no reader sees as text: scripts, styles, controls, hidden parts. For every
 node the composite density is worked out: characters for each tag, adjusted by the characters and tags of links, and by
-how linked the page is as a whole. Element, role and the words of class and id lower a density (`SOFT`, `HARD`) where they
-speak of menus, headers, footers, sidebars, notices, adverts, forms or comments; they delete nothing. A node's sum is the
-sum of its children's densities. The node of the largest sum holds the page's text, and the least density on the path from
-the body to it is the threshold.
-
-From there the text widens and narrows by that threshold alone: nodes beside the path whose density reaches it, and which
-are built of what the chosen node is built of, belong to the text; within it, lowered parts that don't reach it are left
-out. Elements `article` and `main` break ties between equal sums, and a header within one is its own.
+how linked the page is as a whole. A node's sum is the sum of its children's densities. The node of the largest sum holds the
+page's text, and the least density on the path from the body to it is the threshold. The text widens by that threshold: a
+part beside the path whose density and sum reach it belongs to the text, too; a footer or an advert of one bare line has a
+sum of nothing.
+
+Element, role and the words of class and id have no part in densities, sums and the threshold. They settle doubt, by a factor
+that a named part has to make up for: `WORDS` where words of page layout name it, `PARTS` where its element or role does,
+`STRANGER` where it is named for what is strange to an article wherever it stands. Its sum is lowered by that much among the
+candidates for the text's node, and its density and sum are before the threshold, to come in from beside the path or to stay where
+it lies within the chosen node. Elements `article` and `main` break ties between equal sums, and a
+header within one is its own.
 
 Text: character references are decoded, white space within a block becomes one blank, blocks come in page order, one a
 line. Nulls: a null page is empty and has no text. A page cut off anywhere is read as far as it goes. Repeated rows give
@@ -42,8 +45,10 @@ UNSEEN = set(
     "head script style noscript iframe template textarea title fieldset button select option dialog svg canvas object embed audio video map label input".split()
 )
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
-LOWERED = set("nav footer aside form menu".split())
-ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
+PARAGRAPHS = HEADINGS | set("p pre blockquote ul ol dl table figure details address center".split())
+LOWERED = set("nav footer aside menu".split())
+ROLES = set("navigation banner contentinfo complementary menu menubar toolbar".split())
+STRANGE_ROLES = set("search dialog alertdialog alert form".split())
 #: Words of class and id that lower a density: of page layout, and of what is strange to an article wherever
 #: it stands.
 LAYOUT = set(
@@ -57,9 +62,9 @@ STRANGE = set(
 )
 #: With one of these words beside it, `header` is an article's own.
 OWN = set("article content entry post story".split())
-#: What a density is multiplied by. A form, or a part that only words of layout speak of, is not lowered if it holds most of
-#: the page.
-SOFT, HARD = 0.2, 0.02
+#: What a named part's density and sum are multiplied by where they are compared. A form, or a part that only words of layout
+#: speak of, is not doubted if it holds most of the page.
+WORDS, PARTS, STRANGER = 0.25, 0.2, 0.02
 #: A class that says what a part has or lacks does not say what it is.
 _ABOUT_OTHERS = re.compile(r"^(?:has|no|with|without|hide|show)[-_]|[-_](?:with|without|no|has)[-_]", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=/?[a-zA-Z])[^>]*(>|$)|[^<]+|<", re.S)
@@ -82,22 +87,23 @@ _STOPS_P = {"td", "th", "table", "button", "article", "section", "div", "li", "b
 
 
 class Node:
-    __slots__ = ("article", "body", "chars", "density", "hint", "link_chars", "link_tags", "parent", "place", "sum", "tag", "tags", "weight")
+    __slots__ = ("article", "body", "chars", "density", "hint", "inner", "link_chars", "link_tags", "parent", "place", "sum", "tag", "tags", "weight")
 
     def __init__(self, tag: str, parent: Node | None, hint: float = 1.0):
         self.tag, self.parent, self.hint = tag, parent, hint  # the hint is 0 for what is not read at all
         self.article = tag in ("article", "main") or bool(parent and parent.article)
         self.body: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = self.place = 0
+        self.inner = 0  # characters outside links and parts of other kinds than the article's
         self.density = self.sum = 0.0
         self.weight = 1.0
 
 
 def hint(tag: str, attributes: str, within_article: bool) -> float:
-    """What an element, its role and the words of its class and id do to its density; 0 if it is not read."""
+    """How far an element, its role and the words of its class and id put it in doubt; 0 if it is not read."""
     if tag in UNSEEN:
         return 0.0
-    found = HARD if tag in LOWERED or tag == "header" and not within_article else 1.0
+    found = STRANGER if tag == "form" else PARTS if tag in LOWERED or tag == "header" and not within_article else 1.0
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
         return found
     for name, *values in _ATTRIBUTE.findall(attributes):
@@ -108,11 +114,13 @@ def hint(tag: str, attributes: str, within_article: bool) -> float:
             if within_article or words & OWN:
                 words.discard("header")
             if words & STRANGE:
-                found = HARD
+                found = STRANGER
             elif tag != "article" and words & LAYOUT:
-                found = min(found, SOFT)
+                found = min(found, WORDS)
+        elif name == "role" and value.strip().lower() in STRANGE_ROLES:
+            found = STRANGER
         elif name == "role" and value.strip().lower() in ROLES:
-            found = HARD
+            found = min(found, PARTS)
         elif name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
             return 0.0
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -203,21 +211,23 @@ def measure(top: Node) -> list[Node]:
     nodes = _ordered(top)
     for node in reversed(nodes):
         node.chars += sum(len("".join(x.split())) for x in node.body if isinstance(x, str))
+        node.inner += sum(len("".join(x.split())) for x in node.body if isinstance(x, str))
         if node.tag == "a":
-            node.link_chars, node.link_tags = node.chars, node.link_tags + 1
+            node.link_chars, node.link_tags, node.inner = node.chars, node.link_tags + 1, 0
         if node.parent:
             up = node.parent
             up.chars += node.chars
+            up.inner += node.inner if node.hint in (1.0, WORDS) or node.tag == "form" else 0
             up.tags += node.tags + 1
             up.link_chars += node.link_chars
             up.link_tags += node.link_tags
     whole = nodes[0]
     share = whole.link_chars / max(1, whole.chars)
     for node in nodes:
-        most = 2 * (node.chars - node.link_chars) > whole.chars - whole.link_chars
-        own = 1.0 if most and (node.hint == SOFT or node.tag == "form") else node.hint
+        most = 2 * node.inner > whole.inner if node.hint == WORDS else 2 * (node.chars - node.link_chars) > whole.chars - whole.link_chars
+        own = 1.0 if most and (node.hint == WORDS or node.tag == "form") else node.hint
         node.weight = min(own, node.parent.weight) if node.parent else own
-        node.density = node.weight * composite_density(node.chars, node.tags, node.link_chars, node.link_tags, share)
+        node.density = composite_density(node.chars, node.tags, node.link_chars, node.link_tags, share)
         if node.parent:
             node.parent.sum += node.density
     return nodes
@@ -240,10 +250,10 @@ def _heading(node: Node) -> bool:
 
 def densest(nodes: list[Node]) -> Node:
     """The node of the largest sum among those built of blocks. The page's body holds whatever the page has, so it counts
-    without the density of the part that the next best lies in."""
+    without the density of the part that the next best lies in, and without bare lines that are no paragraphs."""
 
     def largest(some: list[Node]) -> Node:
-        return max(some, key=lambda x: (x.sum, x.tag in ("article", "main"), -x.place))
+        return max(some, key=lambda x: (x.sum * x.weight, x.tag in ("article", "main"), -x.place))
 
     built = [x for x in nodes if _holds(x)] or [nodes[0]]
     best = largest(built)
@@ -251,18 +261,23 @@ def densest(nodes: list[Node]) -> Node:
     if best.tag in ("html", "body") and inner:
         other = largest(inner)
         part = next(x for x in [other, *_above(other)] if x.parent in (best, None))
-        if other.sum > best.sum - part.density:
+        bare = sum(x.density for x in best.body if isinstance(x, Node) and x.hint and x is not part and x.tag not in PARAGRAPHS and not _holds(x))
+        if other.sum * other.weight > best.sum - part.density - bare:
             return other
     return best
 
 
+def _reaches(node: Node, least: float) -> bool:
+    return min(node.density, node.sum) * node.weight >= least
+
+
 def main_nodes(top: Node) -> tuple[list[Node], float]:
     """The nodes that make up the page's text, in page order, none within another; and the threshold."""
     nodes = [x for x in measure(top) if x.chars]
     if not nodes:
         return [], 0.0
     best = densest(nodes)
-    if best.weight <= HARD:  # a page of menus alone
+    if best.weight <= STRANGER:  # a page of menus alone
         return [], 0.0
     path = [best, *_above(best)]
     least = min(x.density for x in path)
@@ -271,8 +286,7 @@ def main_nodes(top: Node) -> tuple[list[Node], float]:
     for inner, outer in pairwise(path):
         for x in outer.body:
             if isinstance(x, Node) and x is not inner and x.hint and x.chars:
-                alike = x.density >= least and (x.tag in kinds or _holds(x) & kinds)
-                if alike or x.weight == 1 and _heading(x):
+                if _reaches(x, least) or x.weight == 1 and (_heading(x) or x.tag in PARAGRAPHS and x.density >= least and x.tag in kinds):
                     chosen.append(x)
     return sorted(chosen, key=lambda x: x.place), least
 
@@ -284,7 +298,7 @@ def _above(node: Node) -> Iterator[Node]:
 
 
 def text_of(roots: list[Node], least: float = 0.0) -> str:
-    """The blocks of the nodes, one a line, without lowered parts of a density under the least."""
+    """The blocks of the nodes, one a line, without named parts that the threshold leaves in doubt."""
     lines, now = [], []
 
     def end() -> None:
@@ -301,7 +315,7 @@ def text_of(roots: list[Node], least: float = 0.0) -> str:
                 end()
             elif isinstance(x, str):
                 now.append(x)
-            elif not x.hint or x.weight < root.weight and x.density <= least:
+            elif not x.hint or x.weight < root.weight and x.density * x.weight <= least:
                 if x.tag in BLOCKS:
                     end()
             elif x.tag == "br":

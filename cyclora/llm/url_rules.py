@@ -5,15 +5,18 @@ the longest that fits decides. The urls that the given rules decide are the labe
 a transaction. Spark's FP-growth mines the frequent token combinations of three quarters of the hosts; those with a label
 at their end, enough support and confidence, and more confidence than the label has anyway, are association rules. Rules
 that a shorter one matches with no less confidence are pruned, and so are those which, on the hosts held out, are right
-less often than the least confidence, or which fewer than `MIN_HOSTS` groups of hosts bear out. A url that no given rule
-fits gets the label of its best mined rule (most confident, then best supported, then shortest, then first by name), found
-by an inverted index from each rule's first token; without one it gets `otherwise`.
+less often than the least confidence, or which fewer than `MIN_HOSTS` groups of hosts bear out.
 
-Mined rules carry over what the given ones say of a host to its other paths, and of a path to other hosts: that is a guess,
-which held-out hosts can test only where the given rules decide.
+As all labels come from a few given rules, a mined rule may but repeat what one of them says of its own hosts and paths. So it must have evidence
+from two given rules at least, and stand without any one of them: left out in turn, the others still give it its support and
+confidence, and it is right of the urls that the one left out decides. What only one given rule says is not carried over to other urls.
+
+A url that no given rule fits gets the label of its best mined rule (most confident, then best supported, then shortest, then
+first by name), found by an inverted index from each rule's first token; without one it gets `otherwise`. `leave_one_out`
+measures what that is worth: each given rule's urls are judged by what the other given rules alone would have taught.
 
 The number of mined rules does not grow with the pages: supports are shares of the transactions. Rules, and counts of a
-rule, alone reach the driver. The labelled urls' tokens are written once and read from there.
+mined rule by given rule, alone reach the driver. The labelled urls' tokens are written once and read from there.
 
 Nulls: a null url, or one without `://`, has an empty host and path and no tokens. Repeated rows count as often as they
 occur. Empty tables give no rows; without labelled urls nothing is mined. Other columns are not read.
@@ -76,17 +79,19 @@ def given_rule(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> C
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """The different tokens of a url: its host's endings, its path's first steps, and its form."""
+    """The different tokens of a url: its host's endings and front, its path's first steps and kind, and its form."""
     parts = F.split(host, r"\.")
     n = F.size(parts)
     steps = F.filter(F.split(path, "/"), lambda x: x != "")
     ends = F.when(host != "", F.transform(F.sequence(F.lit(1), F.least(n, F.lit(3))), lambda i: F.concat(F.lit("host="), F.array_join(F.slice(parts, n - i + 1, i), "."))))
+    last = F.get(steps, F.size(steps) - 1)
     kind = F.array(
         F.when(n > 2, F.concat(F.lit("front="), parts[0])),
         F.concat(F.lit("step1="), F.get(steps, F.lit(0))),
-        F.concat(F.lit("step2^"), F.substring(F.get(steps, F.lit(1)), 1, 1)),
-        F.when(F.size(steps) > 2, F.lit("deep")),
-        F.when(path.rlike(r"\.[a-z]+$"), F.lit("page")),
+        F.concat(F.lit("step2="), F.get(steps, F.lit(1))),
+        F.concat(F.lit("steps="), F.least(F.size(steps), F.lit(4)).cast("string")),
+        F.when(last.rlike(r"^[0-9]+$"), F.lit("number")),
+        F.concat(F.lit("ends="), F.nullif(F.regexp_extract(last, r"\.([A-Za-z0-9]+)$", 1), F.lit(""))),
         F.when(url.contains("?"), F.lit("query")),
     )
     return F.array_distinct(F.array_compact(F.concat(F.coalesce(ends, F.array()), kind)))
@@ -119,9 +124,9 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     return sorted(kept, key=Mined.rank)
 
 
-def proven(rules: list[Mined], labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_hosts: int = MIN_HOSTS) -> list[Mined]:
-    """The rules that (tokens, verdict, hosts, held) rows bear out: right often enough where held, and in enough groups of
-    hosts."""
+def proven(rules: list[Mined], labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_hosts: int = MIN_HOSTS, min_support: float = MIN_SUPPORT) -> list[Mined]:
+    """The rules that (tokens, verdict, given, hosts, held) rows bear out: right often enough where held, in enough groups of
+    hosts, and without any one of the given rules."""
     if not rules:
         return []
     index = Index(rules)
@@ -129,21 +134,32 @@ def proven(rules: list[Mined], labelled: DataFrame, min_confidence: float = MIN_
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: Counter = Counter()
         for batch in batches:
-            for own, verdict, hosts, held in zip(*[c.to_pylist() for c in batch.columns]):
+            for own, verdict, given, hosts, held in zip(*[c.to_pylist() for c in batch.columns]):
                 for i in index.fitting(own):
-                    told[i, hosts, held, rules[i].verdict == verdict] += 1
-        columns = [*zip(*told), tuple(told.values())] if told else [()] * 5
-        kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["rule", "hosts", "held", "right", "n"])
-
-    told = labelled.select("tokens", "verdict", "hosts", "held").mapInArrow(tell, "rule int, hosts int, held boolean, right boolean, n bigint")
-    each = told.groupBy("rule").agg(
-        F.count_distinct(F.when(F.col("right"), F.col("hosts"))).alias("hosts"),
-        F.sum(F.when(F.col("held") & F.col("right"), F.col("n")).otherwise(0)).alias("right"),
-        F.sum(F.when(F.col("held"), F.col("n")).otherwise(0)).alias("held"),
-    )
+                    told[i, given, hosts, held, rules[i].verdict == verdict] += 1
+        columns = [*zip(*told), tuple(told.values())] if told else [()] * 6
+        kinds = (pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["rule", "given", "hosts", "held", "right", "n"])
+
+    told = durable(labelled.select("tokens", "verdict", "given", "hosts", "held").mapInArrow(tell, "rule int, given string, hosts int, held boolean, right boolean, n bigint"))
+    right, held = F.col("right"), F.col("held")
+    each = told.groupBy("rule").agg(F.count_distinct(F.when(right, F.col("hosts"))).alias("hosts"), F.sum(F.when(held & right, F.col("n")).otherwise(0)).alias("right"), F.sum(F.when(held, F.col("n")).otherwise(0)).alias("held"))
     good = {r.rule for r in each.collect() if r.hosts >= min_hosts and r.held and r.right >= min_confidence * r.held}
-    return [rule for i, rule in enumerate(rules) if i in good]
+    size = {r.given: r["count"] for r in labelled.groupBy("given").count().collect()}
+    whole = sum(size.values())
+    by_given: dict[int, dict[str, tuple[int, int]]] = defaultdict(dict)
+    for r in told.groupBy("rule", "given").agg(F.sum(F.when(right, F.col("n")).otherwise(0)).alias("right"), F.sum("n").alias("n")).collect():
+        by_given[r.rule][r.given] = (r.right, r.n)
+
+    def stands(own: dict[str, tuple[int, int]]) -> bool:
+        all_right, all_n = (sum(x[k] for x in own.values()) for k in (0, 1))
+        for given, (yes, n) in own.items():
+            rest = all_right - yes
+            if rest < min_confidence * (all_n - n) or rest <= 0 or rest < min_support * (whole - size[given]) or yes < min_confidence * n:
+                return False
+        return len(own) >= 2
+
+    return [rule for i, rule in enumerate(rules) if i in good and stands(by_given[i])]
 
 
 class Index:
@@ -164,6 +180,44 @@ class Index:
         return self.rules[min(fits)] if fits else None
 
 
+def _parts(pages: DataFrame, page_id: str, url: str, rules: tuple[Rule, ...]) -> DataFrame:
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"))
+    rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    rows = rows.withColumn("given", given_rule(F.col("host"), F.col("path"), rules))
+    cut = F.when(F.col("url").contains("://"), tokens(F.col("url"), F.col("host"), F.col("path")))
+    return rows.select("page_id", "host", "path", F.col("given.rule").alias("rule"), F.col("given.verdict").alias("verdict"), F.coalesce(cut, F.array().cast("array<string>")).alias("tokens"))
+
+
+def _labelled(rows: DataFrame) -> DataFrame:
+    hosts = F.pmod(F.xxhash64("host"), F.lit(HELD * HOST_GROUPS))
+    return rows.filter("verdict is not null").select("tokens", "verdict", F.col("rule").alias("given"), (hosts / HELD).cast("int").alias("hosts"), (hosts % HELD == 0).alias("held"))
+
+
+def learn(known: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_hosts: int = MIN_HOSTS) -> list[Mined]:
+    """The mined rules of labelled rows (tokens, verdict, given, hosts, held), best first."""
+    return proven(mine(known.filter("not held"), min_support, min_confidence), known, min_confidence, min_hosts, min_support)
+
+
+def leave_one_out(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: tuple[Rule, ...] = RULES, otherwise: str = ALLOW, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_hosts: int = MIN_HOSTS) -> DataFrame:
+    """(rule, n, right, plain): for each given rule the urls that it decides, how many of them get its verdict from what the
+    other given rules' urls alone teach, and how many from `otherwise` alone."""
+    rows = durable(_parts(pages, page_id, url, rules).filter("rule is not null"))
+    out = []
+    for r in rules:
+        name = r.host + r.path
+        index = Index(learn(durable(_labelled(rows.filter(F.col("rule") != name))), min_support, min_confidence, min_hosts))
+
+        def count(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [index.best(own) for own in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([x.verdict if x else otherwise for x in found], pa.string())], ["verdict"])
+
+        own = rows.filter(F.col("rule") == name)
+        told = own.select("tokens").mapInArrow(count, "verdict string").agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == r.verdict).alias("right")).first()
+        out.append((name, told["n"], told["right"], told["n"] if r.verdict == otherwise else 0))
+    return pages.sparkSession.createDataFrame(out, "rule string, n long, right long, plain long")
+
+
 def judge(
     pages: DataFrame,
     page_id: str = "page_id",
@@ -176,14 +230,9 @@ def judge(
 ) -> DataFrame:
     """A row per page: page_id, host, path, rule, verdict, mined_rule, confidence (the last two where a mined rule decides)."""
     kind = pages.schema[page_id].dataType.simpleString()
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"))
-    rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    rows = rows.withColumn("given", given_rule(F.col("host"), F.col("path"), rules))
-    cut = F.when(F.col("url").contains("://"), tokens(F.col("url"), F.col("host"), F.col("path")))
-    rows = rows.select("page_id", "host", "path", F.col("given.rule").alias("rule"), F.col("given.verdict").alias("verdict"), F.coalesce(cut, F.array().cast("array<string>")).alias("tokens"))
-    hosts = F.pmod(F.xxhash64("host"), F.lit(HELD * HOST_GROUPS))
-    known = durable(rows.filter("verdict is not null").select("tokens", "verdict", (hosts / HELD).cast("int").alias("hosts"), (hosts % HELD == 0).alias("held")))
-    index = Index(proven(mine(known.filter("not held"), min_support, min_confidence), known, min_confidence, min_hosts))
+    rows = _parts(pages, page_id, url, rules)
+    known = durable(_labelled(rows))
+    index = Index(learn(known, min_support, min_confidence, min_hosts))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
