@@ -217,7 +217,7 @@ def measure(top: Node) -> list[Node]:
         if node.parent:
             up = node.parent
             up.chars += node.chars
-            up.inner += node.inner if node.hint in (1.0, WORDS) or node.tag == "form" else 0
+            up.inner += node.inner if node.hint in (1.0, WORDS) else 0
             up.tags += node.tags + 1
             up.link_chars += node.link_chars
             up.link_tags += node.link_tags
