@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cyclora.operators.intervals import pieces
 from cyclora.session import ship
 
 
+#: Hits without overlap are chosen for pieces of about so many rows together.
+PIECES_AT_ONCE = 50_000
+
+
 def best_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group. Spark cuts groups down before the shuffle (WindowGroupLimit)."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -43,16 +50,40 @@ def union_keep_first(frames: list[DataFrame], keys: list[str], order: list[str])
     return best_row(out, keys, [F.asc("_source"), *[F.asc(c) for c in order]]).drop("_source")
 
 
-def _greedy(start: np.ndarray, end: np.ndarray, order: np.ndarray) -> np.ndarray:
+class _Taken:
+    """Disjoint intervals in order, in blocks, so that to add one moves few."""
+
+    def __init__(self, most: int = 512):
+        self.blocks: list[list[tuple[int, int]]] = [[]]
+        self.firsts: list[int] = [0]
+        self.most = most
+
+    def _block(self, at: int) -> int:
+        return max(0, bisect_right(self.firsts, at) - 1)
+
+    def overlaps(self, start: int, end: int) -> bool:
+        """Whether the last interval that begins by `end` reaches `start`."""
+        i = self._block(end)
+        k = bisect_right(self.blocks[i], end, key=itemgetter(0))
+        return k > 0 and self.blocks[i][k - 1][1] >= start
+
+    def add(self, start: int, end: int) -> None:
+        i = self._block(start)
+        block = self.blocks[i]
+        insort(block, (start, end))
+        self.firsts[i] = block[0][0]
+        if len(block) > self.most:
+            half = len(block) // 2
+            self.blocks[i : i + 1] = [block[:half], block[half:]]
+            self.firsts[i : i + 1] = [block[0][0], block[half][0]]
+
+
+def _greedy(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Which intervals stay when each, in order, is taken if it overlaps none taken before."""
-    from bisect import bisect_left, insort
-
-    taken: list[tuple[int, int]] = []
-    keep = np.zeros(len(start), bool)
-    for i in order:
-        k = bisect_left(taken, (start[i], end[i]))
-        if (k == 0 or taken[k - 1][1] < start[i]) and (k == len(taken) or taken[k][0] > end[i]):
-            insort(taken, (start[i], end[i]))
+    taken, keep = _Taken(), np.zeros(len(start), bool)
+    for i, (a, b) in enumerate(zip(start.tolist(), end.tolist())):
+        if not taken.overlaps(a, b):
+            taken.add(a, b)
             keep[i] = True
     return keep
 
@@ -79,14 +110,24 @@ def _exact(start: np.ndarray, end: np.ndarray, score: np.ndarray) -> np.ndarray:
 
 
 def non_overlapping(df: DataFrame, key: str, start: str, end: str, score: str, tie: list[str], exact: bool = False) -> DataFrame:
-    """The hits of each key without overlaps: greedily by score (ties by the tie columns), or the best total."""
+    """The hits of each key without overlaps: greedily by score (ties by the tie columns), or the best total. A key is cut where
+    no hit crosses, and the pieces are solved apart: a choice within one bars nothing in another, and the best total is
+    the sum of the pieces' best."""
+    piece, group = "_piece", "_group"
+    cut = pieces(df, key, start, end, piece)
+    groups = max(cut.sparkSession.sparkContext.defaultParallelism, -(-cut.count() // PIECES_AT_ONCE))
 
     def select(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([score, *tie], ascending=[False] + [True] * len(tie), kind="stable").reset_index(drop=True)
-        a, b = pdf[start].to_numpy(), pdf[end].to_numpy()
-        return pdf[_exact(a, b, pdf[score].to_numpy()) if exact else _greedy(a, b, np.arange(len(a)))]
-
-    return df.groupBy(key).applyInPandas(select, df.schema)
+        # the group's pieces one behind the other, so that no two of them overlap
+        code = pdf.groupby([key, piece], dropna=False).ngroup().to_numpy()
+        a, b = (pdf[c].to_numpy() - pdf[piece].to_numpy() for c in (start, end))
+        room = pd.Series(b).groupby(code).max().to_numpy() + 1
+        shift = (np.cumsum(room) - room)[code]
+        chosen = _exact(a + shift, b + shift, pdf[score].to_numpy()) if exact else _greedy(a + shift, b + shift)
+        return pdf[chosen].drop(columns=[piece, group])
+
+    return cut.withColumn(group, F.pmod(F.xxhash64(key, piece), F.lit(groups))).groupBy(group).applyInPandas(select, df.schema)
 
 
 def strided_parts(df: DataFrame, order: list[str], parts: int, out: str = "part") -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cyclora.operators.ordering import ranged, scanned
 
 def normalised(df: DataFrame, start: str, end: str) -> DataFrame:
     return df.withColumns({start: F.least(start, end), end: F.greatest(start, end)})
@@ -35,31 +36,27 @@ def without_overlap(a: DataFrame, b: DataFrame, container: str, a_key: list[str]
 
 
 def nearest_distance(a: DataFrame, b: DataFrame, container: str, a_start: str, a_end: str, b_start: str, b_end: str, out: str = "distance") -> DataFrame:
-    """a with the gap to the nearest b of its container: 0 if they touch or overlap, null without any b. One sort of both
-    sides: of the b that start by a's end the furthest end counts, of the later ones the first start."""
+    """a with the gap to the nearest b of its container: 0 if they touch or overlap, null without any b. Both sides are laid out in one
+    order: of the b that start by a's end the furthest end counts, of the later ones the first start. Containers of many
+    intervals are spread over ranges."""
     left = a.withColumns({"_at": F.col(a_end), "_side": F.lit(1)})
     right = b.select(container, F.col(b_start).alias("_at"), F.lit(0).alias("_side"), F.col(b_start).alias("_bs"), F.col(b_end).alias("_be"))
-    both = left.unionByName(right, allowMissingColumns=True)
-    w = Window.partitionBy(container).orderBy("_at", "_side")
-    before = F.max("_be").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.min("_bs").over(w.rowsBetween(0, Window.unboundedFollowing))
-    gaps = both.withColumns({"_before": before, "_after": after}).filter("_side = 1")
+    parts, order = ranged(left.unionByName(right, allowMissingColumns=True), [container], ["_at", "_side"]), ["_at", "_side"]
+    both = scanned(scanned(parts, [container], order, {"_before": F.col("_be")}), [container], order, {"_after": F.col("_bs")}, down=True)
     back = F.when(F.col("_before").isNotNull(), F.greatest(F.lit(0), F.col(a_start) - F.col("_before")))
     ahead = F.when(F.col("_after").isNotNull(), F.col("_after") - F.col(a_end))
-    return gaps.withColumn(out, F.least(back, ahead)).select(*a.columns, out)
+    return both.filter("_side = 1").withColumn(out, F.least(back, ahead)).select(*a.columns, out)
 
 
 def nearest_coordinate(a: DataFrame, b: DataFrame, container: str, point: str, at: str, tie: str, tolerance: int | None = None) -> DataFrame:
     """a with near_at and near_id of the b of its container nearest to the point; of equally near ones the one before,
-    with the smallest tie key; null beyond the tolerance."""
+    with the smallest tie key; null beyond the tolerance. An as-of join from both sides, over ranges."""
     left = a.withColumns({"_at": F.col(point), "_side": F.lit(1)})
     firsts = b.groupBy(container, at).agg(F.min(tie).alias("_id"))
     right = firsts.select(container, F.col(at).alias("_at"), F.lit(0).alias("_side"), F.struct(F.col(at).alias("at"), F.col("_id").alias("id")).alias("_b"))
-    both = left.unionByName(right, allowMissingColumns=True)
-    w = Window.partitionBy(container)
-    before = F.last("_b", True).over(w.orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_b", True).over(w.orderBy("_at", F.desc("_side")).rowsBetween(0, Window.unboundedFollowing))
-    x = both.withColumns({"_p": before, "_q": after}).filter("_side = 1")
+    parts, order = ranged(left.unionByName(right, allowMissingColumns=True), [container], ["_at", "_side"]), ["_at", "_side"]
+    both = scanned(scanned(parts, [container], order, {"_p": F.col("_b")}), [container], order, {"_q": F.col("_b")}, down=True)
+    x = both.filter("_side = 1")
     dp, dq = F.col(point) - F.col("_p.at"), F.col("_q.at") - F.col(point)
     best = F.when(F.col("_q").isNull() | (dp <= dq), F.col("_p")).otherwise(F.col("_q"))
     x = x.withColumn("_best", best)
@@ -68,13 +65,19 @@ def nearest_coordinate(a: DataFrame, b: DataFrame, container: str, point: str, a
     return x.select(*a.columns, F.col("_best.at").alias("near_at"), F.col("_best.id").alias("near_id"))
 
 
+def pieces(df: DataFrame, key: str, start: str, end: str, out: str = "piece") -> DataFrame:
+    """df with the first start of the stretch that each interval belongs to: between stretches no interval of the key
+    crosses. Keys of many intervals are spread over ranges."""
+    parts, order = ranged(df, [key], [start, end]), [start, end]
+    fresh = F.when(F.col("_past").isNull() | (F.col(start) > F.col("_past")), F.col(start))
+    marked = scanned(parts, [key], order, {"_past": F.col(end)}, past=True).withColumn("_fresh", fresh)
+    return scanned(marked, [key], order, {out: F.col("_fresh")}).select(*df.columns, out)
+
+
 def merge_intervals(df: DataFrame, container: str, start: str, end: str, gap: int = 0) -> DataFrame:
     """(container, start, end, n): overlapping or touching intervals (or those within gap) as one."""
-    w = Window.partitionBy(container).orderBy(start, end)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(before.isNull() | (F.col(start) > before + gap), 1).otherwise(0)
-    runs = df.select(container, start, end).withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(container, "_run").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_run")
+    reach = df.select(container, start, end).withColumn("_reach", F.col(end) + gap)
+    return pieces(reach, container, start, "_reach", "_run").groupBy(container, "_run").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_run")
 
 
 def complement(merged: DataFrame, container: str, start: str, end: str) -> DataFrame:

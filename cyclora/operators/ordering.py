@@ -24,6 +24,51 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> Data
     return out.drop("_part")
 
 
+def ranged(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """df dealt out by ranges of the keys and the order, written, with the partition as `_part`: a key of many rows is spread
+    over as many partitions as its rows fill."""
+    return durable(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+
+
+def scanned(parts: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], down: bool = False, past: bool = False) -> DataFrame:
+    """parts (of `ranged`) with running extremes of the rows that share the keys: the largest value so far in the order, or with
+    `down` the least from the end backwards; the row itself counts, or with `past` only the rows before it. Each partition runs over
+    its own rows; what a key had in other partitions is carried over as one row a partition. Nulls don't count."""
+    how, both = (F.min, F.least) if down else (F.max, F.greatest)
+    key = F.struct(*keys)
+    bounds = {r["_part"]: r for r in parts.groupBy("_part").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).collect()}
+    if not bounds:
+        return parts.withColumns({k: F.lit(None).cast(parts.select(c.alias("x")).schema["x"].dataType) for k, c in values.items()})
+    spark, kinds = parts.sparkSession, {f.name: f.dataType for f in parts.schema.fields}
+    spelt = ", ".join(f"`{k}`: {kinds[k].simpleString()}" for k in keys)
+    # the key at a partition's far edge goes on in the next ones
+    edge = "lo" if down else "hi"
+    edges = spark.createDataFrame([(p, r[edge]) for p, r in bounds.items()], f"_part int, _edge struct<{spelt}>")
+    at_edge = parts.join(F.broadcast(edges), "_part").filter(key.eqNullSafe(F.col("_edge"))).groupBy("_part").agg(*[how(c).alias(k) for k, c in values.items()])
+    sums = {r["_part"]: r for r in at_edge.collect()}
+    pick = min if down else max
+    carried, walk = [], sorted(bounds, reverse=down)
+    for i, p in enumerate(walk):
+        first, found = bounds[p]["hi" if down else "lo"], {}
+        for q in reversed(walk[:i]):
+            if bounds[q][edge] != first:
+                break
+            for k in values:
+                v = sums[q][k] if q in sums else None
+                found[k] = v if found.get(k) is None else found[k] if v is None else pick(v, found[k])
+            if bounds[q]["hi" if down else "lo"] != first:
+                break
+        carried.append((p, first, *[found.get(k) for k in values]))
+    types = parts.select(*[c.alias(k) for k, c in values.items()]).schema
+    fields = ", ".join(f"`_in_{k}` {types[k].dataType.simpleString()}" for k in values)
+    carry = spark.createDataFrame(carried, f"_part int, _first struct<{spelt}>, {fields}")
+    within = Window.partitionBy("_part", *keys).orderBy(*[F.desc(c) if down else F.asc(c) for c in order])
+    frame = within.rowsBetween(Window.unboundedPreceding, -1 if past else 0)
+    own = parts.join(F.broadcast(carry), "_part")
+    out = own.withColumns({k: both(how(c).over(frame), F.when(key.eqNullSafe(F.col("_first")), F.col(f"_in_{k}"))) for k, c in values.items()})
+    return out.select(*parts.columns, *values)
+
+
 def value_ranks(df: DataFrame, value: str, descending: bool = False) -> DataFrame:
     """(value, ties, min_rank, avg_rank) of each different value that isn't null."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("ties"))

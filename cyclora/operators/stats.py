@@ -96,7 +96,7 @@ def _running_min_down(df: DataFrame, value: str, order: str) -> DataFrame:
         after += [F.lit(part), F.lit(low)]
         low = min(low, least[part])
     rest = F.create_map(*after)[F.col("_part")] if after else F.lit(float("inf"))
-    w = Window.partitionBy("_part").orderBy(F.asc(order)).rowsBetween(0, Window.unboundedFollowing)
+    w = Window.partitionBy("_part").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
     return cut.withColumn("_least", F.least(F.min(value).over(w), rest)).drop("_part")
 
 
