@@ -1,25 +1,16 @@
 """Graphs as edge tables: degrees, components, centralities, clustering, paths, null models, communities.
 
-Degrees, components, power iterations, clustering coefficients and path chains are joins and aggregates over edge tables of
-any size. Searches from single sources (betweenness, closeness, path lengths) deal the sources out to tasks; each task holds
-the adjacency, which is broadcast and therefore checked: beyond `MOST_EDGES` edges they raise ValueError, as the exact
-measures cost nodes times edges anyhow. Null models draw on hashes of (seed, replicate, edge).
+All are joins and aggregates over edge tables of any size; searches from many sources are in `searches.py`, communities in
+`communities.py`. Null models draw on hashes of (seed, replicate, edge).
 """
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cyclora.operators.ordering import running
-from cyclora.session import durable, ship
-
-MOST_EDGES = 5_000_000
+from cyclora.session import durable
 
 
 def nodes_of(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -80,134 +71,27 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(a, "src", "left_semi").join(b, "dst", "left_semi").select(edges.columns)
 
 
-def clustering(edges: DataFrame) -> DataFrame:
-    """(node, degree, triangles, coefficient) of the undirected graph. Each triangle is found once, from its node of least
-    degree, so hubs do not pair up all their neighbours."""
-    e = durable(undirected(edges))
-    ends = e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    deg = durable(ends.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree")))
-    d1, d2 = deg.select(F.col("node").alias("src"), F.col("degree").alias("da")), deg.select(F.col("node").alias("dst"), F.col("degree").alias("db"))
-    x = e.join(d1, "src").join(d2, "dst")
+def clustering(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, node, degree, triangles, coefficient) of the undirected graphs that the keys tell apart. Each triangle is found
+    once, from its node of least degree, so hubs do not pair up all their neighbours."""
+    keys = keys or []
+    lower, upper = F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")
+    e = durable(edges.select(*keys, lower, upper).filter("src != dst").distinct())
+    ends = e.select(*keys, "src", "dst").unionByName(e.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst")))
+    deg = durable(ends.groupBy(*keys, F.col("src").alias("node")).agg(F.count("*").alias("degree")))
+    d1, d2 = deg.withColumnsRenamed({"node": "src", "degree": "da"}), deg.withColumnsRenamed({"node": "dst", "degree": "db"})
+    x = e.join(d1, [*keys, "src"]).join(d2, [*keys, "dst"])
     low = F.when(F.struct("da", "src") < F.struct("db", "dst"), F.struct(F.col("src").alias("a"), F.col("dst").alias("b"))).otherwise(F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))
-    up = durable(x.select(low.alias("p")).select("p.a", "p.b"))
-    wedge = up.join(up.withColumnRenamed("b", "c"), "a").filter("b < c")
-    tri = wedge.join(e.withColumnsRenamed({"src": "b", "dst": "c"}), ["b", "c"])
-    t = tri.select(F.explode(F.array("a", "b", "c")).alias("node")).groupBy("node").agg(F.count("*").alias("triangles"))
+    up = durable(x.select(*keys, low.alias("p")).select(*keys, "p.a", "p.b"))
+    wedge = up.join(up.withColumnRenamed("b", "c"), [*keys, "a"]).filter("b < c")
+    tri = wedge.join(e.withColumnsRenamed({"src": "b", "dst": "c"}), [*keys, "b", "c"])
+    t = tri.select(*keys, F.explode(F.array("a", "b", "c")).alias("node")).groupBy(*keys, "node").agg(F.count("*").alias("triangles"))
     k = F.col("degree")
-    return deg.join(t, "node", "left").select(
-        "node", "degree", F.coalesce("triangles", F.lit(0)).alias("triangles"), F.round(F.when(k > 1, 2 * F.coalesce("triangles", F.lit(0)) / (k * (k - 1))).otherwise(0.0), 6).alias("coefficient")
+    return deg.join(t, [*keys, "node"], "left").select(
+        *keys, "node", "degree", F.coalesce("triangles", F.lit(0)).alias("triangles"), F.round(F.when(k > 1, 2 * F.coalesce("triangles", F.lit(0)) / (k * (k - 1))).otherwise(0.0), 6).alias("coefficient")
     )
 
 
-def _adjacency(edges: DataFrame, directed: bool) -> tuple[list, list[list[int]]]:
-    """Nodes and their neighbours, on the driver; the size is checked first."""
-    e = durable((edges.select("src", "dst").distinct() if directed else undirected(edges)))
-    if e.count() > MOST_EDGES:
-        raise ValueError(f"more than {MOST_EDGES} edges: searches from every source aren't feasible; sample sources on a subgraph")
-    ids = _numbered(edges)
-    if ids.count() > MOST_EDGES:
-        raise ValueError(f"more than {MOST_EDGES} nodes")
-    a, b = ids.withColumnsRenamed({"id": "a", "node": "src"}), ids.withColumnsRenamed({"id": "b", "node": "dst"})
-    coded = e.join(a, "src").join(b, "dst").select("a", "b").toArrow()
-    near: list[list[int]] = [[] for _ in range(ids.count())]
-    for x, y in zip(coded.column("a").to_pylist(), coded.column("b").to_pylist()):
-        near[x].append(y)
-        if not directed:
-            near[y].append(x)
-    return ids.orderBy("id").toArrow().column("node").to_pylist(), [sorted(x) for x in near]
-
-
-def _levels(near: list[list[int]], s: int) -> dict[int, int]:
-    far, queue = {s: 0}, deque([s])
-    while queue:
-        v = queue.popleft()
-        for w in near[v]:
-            if w not in far:
-                far[w] = far[v] + 1
-                queue.append(w)
-    return far
-
-
-def _per_source(spark, near: list[list[int]], sources: list[int], work, schema: str) -> DataFrame:
-    shared = spark.sparkContext.broadcast(near)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame([x for s in f["s"] for x in work(shared.value, int(s))], columns=[c.split()[0] for c in schema.split(", ")])
-
-    parts = max(1, min(len(sources), 4 * spark.sparkContext.defaultParallelism))
-    return spark.createDataFrame([(s,) for s in sources], "s int").repartition(parts, "s").mapInPandas(run, schema)
-
-
-def _dependencies(near: list[list[int]], s: int):
-    """Brandes' dependencies of one source."""
-    order, back, far, ways = [], defaultdict(list), {s: 0}, defaultdict(float)
-    ways[s] = 1.0
-    queue = deque([s])
-    while queue:
-        v = queue.popleft()
-        order.append(v)
-        for w in near[v]:
-            if w not in far:
-                far[w] = far[v] + 1
-                queue.append(w)
-            if far[w] == far[v] + 1:
-                ways[w] += ways[v]
-                back[w].append(v)
-    gain = dict.fromkeys(order, 0.0)
-    for w in reversed(order):
-        for v in back[w]:
-            gain[v] += ways[v] / ways[w] * (1 + gain[w])
-        if w != s:
-            yield w, gain[w]
-
-
-def betweenness(edges: DataFrame, directed: bool = False) -> DataFrame:
-    """(node, betweenness), exact and normalised."""
-    spark = edges.sparkSession
-    names, near = _adjacency(edges, directed)
-    n = len(names)
-    scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 0.0  # in undirected graphs each pair is met from both ends
-    got = _per_source(spark, near, list(range(n)), _dependencies, "i int, d double").groupBy("i").agg(F.sum("d").alias("d"))
-    kind = edges.schema["src"].dataType.simpleString()
-    ids = spark.createDataFrame(list(enumerate(names)), f"i int, node {kind}")
-    return ids.join(got, "i", "left").select("node", F.round(F.coalesce("d", F.lit(0.0)) * scale, 6).alias("betweenness"))
-
-
-def closeness(edges: DataFrame, directed: bool = False) -> DataFrame:
-    """(node, closeness), scaled by the share of nodes that reach it (Wasserman and Faust); in directed graphs over
-    incoming paths."""
-    spark = edges.sparkSession
-    turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if directed else edges
-    names, near = _adjacency(turned, directed)
-    n = len(names)
-
-    def work(near, s):
-        far = _levels(near, s)
-        total, k = sum(far.values()), len(far)
-        yield s, (k - 1) / total * (k - 1) / (n - 1) if total and n > 1 else 0.0
-
-    got = _per_source(spark, near, list(range(n)), work, "i int, c double")
-    kind = edges.schema["src"].dataType.simpleString()
-    return got.join(spark.createDataFrame(list(enumerate(names)), f"i int, node {kind}"), "i").select("node", F.round("c", 6).alias("closeness"))
-
-
-def path_length(edges: DataFrame, sources: int = 500, seed: int = 42) -> float | None:
-    """The mean shortest path over reachable pairs of the undirected graph, from all nodes or a seeded sample of sources."""
-    spark = edges.sparkSession
-    names, near = _adjacency(edges, False)
-    picked = list(range(len(names)))
-    if len(picked) > sources:
-        picked = np.random.default_rng(seed).choice(len(names), sources, replace=False).tolist()
-
-    def work(near, s):
-        far = _levels(near, s)
-        yield s, float(sum(far.values())), float(len(far) - 1)
-
-    r = _per_source(spark, near, picked, work, "i int, t double, k double").agg(F.sum("t").alias("t"), F.sum("k").alias("k")).first()
-    return r["t"] / r["k"] if r["k"] else None
-
-
 def _power(edges: DataFrame, step, start: DataFrame, rounds: int, tolerance: float) -> tuple[DataFrame, bool]:
     """Repeats x -> step(x), each round written, until no node moves on average by more than the tolerance; and whether that
     came about within the rounds."""
@@ -265,28 +149,39 @@ def hits(edges: DataFrame, rounds: int = 100, tolerance: float = 1e-8) -> DataFr
     return hub.join(a, "node", "left").select("node", F.round("value", 6).alias("hub"), F.round(F.coalesce("a", F.lit(0.0)), 6).alias("authority"))
 
 
-def unbranching_paths(edges: DataFrame) -> DataFrame:
-    """(start, nodes, n_nodes): maximal paths whose inner nodes have one predecessor and one successor. They begin at nodes
-    that are not so, and include the node at which they end; pure cycles are not reported. Inner nodes jump over their
-    successors with doubled reach, so a path of n nodes takes log n rounds."""
-    e = durable(edges.select("src", "dst").distinct())
+def _chains(e: DataFrame) -> DataFrame:
+    """(node, head, at): for each node of one predecessor and one successor the first such node of its chain and its place behind
+    that. Nodes jump over their predecessors with doubled reach, until none moves any more."""
     ins, outs = e.groupBy("dst").agg(F.count("*").alias("i")), e.groupBy("src").agg(F.count("*").alias("o"))
     simple = durable(ins.filter("i = 1").join(outs.filter("o = 1"), ins.dst == outs.src).select(F.col("src").alias("node")))
     # each simple node points to its predecessor if that is simple too; its head is the first of its chain
     back = e.join(simple, e.dst == simple.node).select(F.col("dst").alias("node"), F.col("src").alias("before"))
     inner = simple.withColumnRenamed("node", "before").withColumn("s", F.lit(True))
     chain = durable(back.join(inner, "before", "left").select("node", F.when(F.col("s"), F.col("before")).otherwise(F.col("node")).alias("head"), F.when(F.col("s"), 1).otherwise(0).cast("long").alias("at")))
-    for _ in range(max(1, simple.count()).bit_length() + 1):
+    for _ in range(max(1, simple.count()).bit_length() + 1):  # a cycle never comes to rest
         to = chain.select(F.col("node").alias("head"), F.col("head").alias("_h"), F.col("at").alias("_a"))
-        chain = durable(chain.join(to, "head").select("node", F.col("_h").alias("head"), (F.col("at") + F.col("_a")).alias("at")))
+        jumped = durable(chain.join(to, "head").select("node", F.col("_h").alias("head"), (F.col("at") + F.col("_a")).alias("at"), (F.col("_a") > 0).alias("moved")))
+        chain = jumped.drop("moved")
+        if jumped.filter("moved").isEmpty():
+            break
     # chains with a head of their own (a head whose place is 0) end in a node that is not simple or closes the chain
-    heads = chain.filter("node = head and at = 0").select("head")
-    real = chain.join(heads, "head", "left_semi")
-    last = real.groupBy("head").agg(F.max_by("node", "at").alias("end"), F.array_sort(F.collect_list(F.struct("at", "node"))).alias("x"))
+    return durable(chain.join(chain.filter("node = head and at = 0").select("head"), "head", "left_semi"))
+
+
+def unbranching_paths(edges: DataFrame) -> DataFrame:
+    """(start, head, stop, n_nodes): maximal paths whose inner nodes have one predecessor and one successor. They begin at nodes
+    that are not so, and include the node at which they end; pure cycles are not reported. A path is one row however long it is;
+    `path_nodes` has its nodes as rows."""
+    e = durable(edges.select("src", "dst").distinct())
+    last = _chains(e).groupBy("head").agg(F.max_by("node", "at").alias("end"), F.count("*").alias("_n"))
     start = e.withColumnsRenamed({"dst": "head", "src": "start"})
     stop = e.withColumnsRenamed({"src": "end", "dst": "stop"})
-    joined = last.join(start, "head").join(stop, "end")
-    return joined.select("start", F.concat(F.array("start"), F.transform("x", lambda s: s["node"]), F.array("stop")).alias("nodes"), (F.size("x") + 2).cast("long").alias("n_nodes"))
+    return last.join(start, "head").join(stop, "end").select("start", "head", "stop", (F.col("_n") + 2).alias("n_nodes"))
+
+
+def path_nodes(edges: DataFrame) -> DataFrame:
+    """(head, at, node): the inner nodes of the paths of `unbranching_paths`, in order from 0."""
+    return _chains(durable(edges.select("src", "dst").distinct())).select("head", "at", "node")
 
 
 def path_stats(paths: DataFrame, n_nodes: int) -> DataFrame:
@@ -429,69 +324,3 @@ def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
     sizes = membership.groupBy("community").agg(F.count("*").alias("n")).agg(F.count("*").alias("communities"), F.max("n").alias("_big"), F.sum("n").alias("_all"), F.median("n").alias("median_size"))
     q = F.when(F.col("m") > 0, F.col("inside") / F.col("m") - F.col("dd") / (4 * F.col("m") * F.col("m")))
     return sizes.join(F.broadcast(inner)).join(F.broadcast(volume)).select("communities", F.round(q, 6).alias("modularity"), F.round(F.col("_big") / F.col("_all"), 6).alias("largest_share"), "median_size")
-
-
-def communities(edges: DataFrame, rounds: int = 10, seed: int = 42) -> DataFrame:
-    """(node, community): greedy modularity moves in seeded order, then the same over communities, until none gains
-    (Louvain). One task holds the graph, so its size is checked. Labels differ from other methods' labels; modularity is
-    comparable. Nodes without edges to others are communities of their own."""
-    e = durable(undirected(edges))
-    if e.count() > MOST_EDGES or (lone := nodes_of(edges)).count() > MOST_EDGES:
-        raise ValueError(f"more than {MOST_EDGES} edges or nodes: they do not fit one task")
-    kind = edges.schema["src"].dataType.simpleString()
-
-    def moves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat([pd.DataFrame({"src": [], "dst": []}), *frames])
-        if pdf.empty:
-            return
-        names, codes = np.unique(np.concatenate((pdf["src"].to_numpy(), pdf["dst"].to_numpy())), return_inverse=True)
-        near: list[list[int]] = [[] for _ in names]
-        for a, b in codes.reshape(2, -1).T.tolist():
-            if a != b:
-                near[a].append(b)
-                near[b].append(a)
-        yield pd.DataFrame({"node": names, "community": louvain([sorted(x) for x in near], rounds, seed)})
-
-    own = lone.select(F.col("node").alias("src"), F.col("node").alias("dst"))
-    return e.select("src", "dst").unionByName(own).coalesce(1).mapInPandas(moves, f"node {kind}, community int")
-
-
-def louvain(near: list[list[int]], rounds: int, seed: int) -> list[int]:
-    """The community of each node of an undirected graph."""
-    rng = np.random.default_rng(seed)
-    weight = [dict.fromkeys(x, 1.0) for x in near]
-    group = list(range(len(near)))
-    while True:
-        label = list(range(len(weight)))
-        strength = [sum(w.values()) + w.get(i, 0.0) for i, w in enumerate(weight)]
-        total, volume, changed = sum(strength), strength[:], False
-        for _ in range(rounds):
-            moved = False
-            for i in rng.permutation(len(weight)).tolist():
-                own, to = label[i], defaultdict(float)
-                for j, w in weight[i].items():
-                    if j != i:
-                        to[label[j]] += w
-                volume[own] -= strength[i]
-                best = max(sorted(to), key=lambda c: to[c] - strength[i] * volume[c] / total, default=own)
-                if best != own and to[best] - strength[i] * volume[best] / total <= to[own] - strength[i] * volume[own] / total + 1e-12:
-                    best = own
-                volume[best] += strength[i]
-                if best != own:
-                    label[i], moved, changed = best, True, True
-            if not moved:
-                break
-        kept = {c: k for k, c in enumerate(sorted(set(label)))}
-        group = [kept[label[g]] for g in group]
-        if not changed:
-            break
-        merged: list[dict[int, float]] = [defaultdict(float) for _ in kept]
-        for i, w in enumerate(weight):
-            for j, x in w.items():
-                a, b = kept[label[i]], kept[label[j]]
-                merged[a][b] += x / 2 if a == b and i != j else x
-        weight = [dict(x) for x in merged]
-    return group
-
-
-ship(__name__)

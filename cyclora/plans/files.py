@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import functions as F
@@ -61,12 +60,20 @@ def directory_listing(t):
     return readers.directory(t.spark, t.folder, r"^(nation|region|supplier)\.parquet$", {"table_name": "string"}).select("table_name")
 
 
-@query("SRC-14 MAP-1 MAP-2", "SELECT * FROM (VALUES ('1', 'A1', 'alpha', 'x;y', 1), ('2', 'A2', 'beta', '', 0)) v(key, accession, name, categories, n_sequences)")
+@query("SRC-14 MAP-1 MAP-2", """SELECT CAST(p_partkey AS VARCHAR) AS key, 'A' || CAST(p_partkey AS VARCHAR) AS accession, p_name AS name, CASE WHEN p_size > 25 THEN least(p_type, p_brand) || ';' || greatest(p_type, p_brand) ELSE p_type END AS categories,
+    CAST(p_size % 2 AS INTEGER) AS n_sequences FROM part""")
 def ontology_scan(t):
+    """A JSON object for each brand, with an entry for each part."""
     at = _new(t)
-    model = {"ARO_accession": "A1", "ARO_name": "alpha", "ARO_category": {"a": {"category_aro_name": "y"}, "b": {"category_aro_name": "x"}}, "model_sequences": {"sequence": {"5": {"protein_sequence": {"accession": "P", "sequence": "MK"}}}}}
-    body = json.dumps({"1": model, "2": {"ARO_accession": "A2", "ARO_name": "beta"}, "_version": "3"})
-    t.spark.createDataFrame([(body,)], "value string").coalesce(1).write.text(at)
+    called = lambda c: F.struct(F.col(c).alias("category_aro_name"))
+    categories = F.when(F.col("p_size") > 25, F.create_map(F.lit("a"), called("p_type"), F.lit("b"), called("p_brand"))).otherwise(F.create_map(F.lit("a"), called("p_type")))
+    protein = F.struct(F.struct(F.lit("P").alias("accession"), F.col("p_type").alias("sequence")).alias("protein_sequence"))
+    sequences = F.when(F.col("p_size") % 2 == 1, F.struct(F.create_map(F.lit("5"), protein).alias("sequence")))
+    key = F.col("p_partkey").cast("string")
+    model = F.struct(F.concat(F.lit("A"), key).alias("ARO_accession"), F.col("p_name").alias("ARO_name"), categories.alias("ARO_category"), sequences.alias("model_sequences"))
+    entries = t.part.select("p_brand", F.struct(key.alias("key"), model.alias("value")).alias("entry"))
+    objects = entries.groupBy("p_brand").agg(F.to_json(F.map_from_entries(F.collect_list("entry"))).alias("value"))
+    objects.write.partitionBy("p_brand").text(at)
     o = readers.ontology(t.spark, at)
     return o.select("key", "accession", "name", text.joined_or_empty(F.col("categories"), ";").alias("categories"), F.size("sequences").alias("n_sequences"))
 

@@ -86,23 +86,40 @@ def groups_above_size(t):
     return t.orders.groupBy("o_custkey").agg(F.count("*").alias("n")).filter("n > 15")
 
 
-_NAMES = ["DDE_Tnp_1", "Beta-lactamase", "IS66", "Phage capsid", "invertase of sugar", "Invertase", "TrbC", "HigB", "Efflux_pump", "ABC_tran", "ISCR1", "mobA_x", "Rep_3", None]
+#: Names of features and accessions, made of the parts' columns.
+_NAMED = """nm AS (SELECT p_partkey, CASE p_size % 10 WHEN 0 THEN 'IS' || CAST(p_size AS VARCHAR) || ' ' || p_name WHEN 1 THEN 'Phage ' || p_name || ' capsid' WHEN 2 THEN 'Invertase of ' || p_name || CASE WHEN p_partkey % 2 = 0 THEN ' sugar' ELSE '' END
+    WHEN 3 THEN 'Trb' || substr(p_brand, 7, 1) WHEN 4 THEN 'Efflux_' || p_type WHEN 5 THEN 'Rep_' || CAST(p_size AS VARCHAR) WHEN 6 THEN 'DDE_Tnp_1' WHEN 7 THEN 'Beta-lactamase' WHEN 8 THEN p_name END AS name, 'PF' || lpad(CAST(p_partkey AS VARCHAR), 5, '0') || '.3' AS acc FROM part)"""
 
 
-def _names(t):
-    return t.spark.createDataFrame([(i, n, "PF00665.3" if i == 9 else "PF99999.1") for i, n in enumerate(_NAMES)], "id long, name string, acc string")
+def _named(t):
+    size = F.col("p_size").cast("string")
+    kinds = [F.concat(F.lit("IS"), size, F.lit(" "), "p_name"), F.concat(F.lit("Phage "), "p_name", F.lit(" capsid")), F.concat(F.lit("Invertase of "), "p_name", F.when(F.col("p_partkey") % 2 == 0, " sugar").otherwise("")),
+        F.concat(F.lit("Trb"), F.substring("p_brand", 7, 1)), F.concat(F.lit("Efflux_"), "p_type"), F.concat(F.lit("Rep_"), size), F.lit("DDE_Tnp_1"), F.lit("Beta-lactamase"), F.col("p_name")]
+    name = F.lit(None).cast("string")
+    for i, kind in enumerate(kinds):
+        name = F.when(F.col("p_size") % 10 == i, kind).otherwise(name)
+    return t.part.select("p_partkey", name.alias("name"), F.concat(F.lit("PF"), F.lpad(F.col("p_partkey").cast("string"), 5, "0"), F.lit(".3")).alias("acc"))
 
 
-@query("FLT-10", "SELECT * FROM (VALUES (0, true), (1, false), (2, true), (3, true), (4, false), (5, true), (6, false), (7, false), (8, false), (9, true), (10, true), (11, true), (12, false), (13, false)) v(id, mobile)")
+def _listed(values) -> str:
+    return "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
+
+
+_LOOK = r"invertase(?!.*sugar)"  # DuckDB's patterns cannot look ahead
+_MOBILE = "|".join(f"(?:{x})" for x in classify.MOBILE_PATTERNS if x != _LOOK)
+_CATEGORY = " ".join(f"WHEN list_bool_or([contains(lower(name), p) FOR p IN {'[' + _listed(parts)[1:-1] + ']'}]) THEN '{label}'" for label, parts in classify.CATEGORIES.items())
+
+
+@query("FLT-10", f"""WITH {_NAMED} SELECT p_partkey, coalesce(split_part(acc, '.', 1) IN {_listed(classify.MOBILE_ACCESSIONS)}, false) OR coalesce(name IN {_listed(classify.MOBILE_NAMES)}, false)
+    OR coalesce(regexp_matches(name, '(?i){_MOBILE}') OR regexp_matches(name, '(?i)invertase') AND NOT regexp_matches(name, '(?i)invertase.*sugar'), false) AS mobile FROM nm""")
 def mobile_classifier(t):
-    return _names(t).select(F.col("id").cast("int").alias("id"), classify.is_mobile(F.col("name"), F.col("acc")).alias("mobile"))
+    return _named(t).select("p_partkey", classify.is_mobile(F.col("name"), F.col("acc")).alias("mobile"))
 
 
-@query("FLT-11", """SELECT * FROM (VALUES (0, 'Transposon/MGE'), (1, 'Beta-lactamase'), (2, 'Other/Unknown'), (3, 'Other/Unknown'), (4, 'Other/Unknown'), (5, 'Other/Unknown'), (6, 'Conjugation/T4SS'), (7, 'Replication/Stability'),
-    (8, 'Resistance (non-BL)'), (9, 'Other/Unknown'), (10, 'Other/Unknown'), (11, 'Transposon/MGE'), (12, 'Replication/Stability'), (13, 'Other/Unknown')) v(id, category)""")
+@query("FLT-11", f"WITH {_NAMED} SELECT p_partkey, CASE WHEN name = 'Beta-lactamase' THEN 'Beta-lactamase' {_CATEGORY} ELSE 'Other/Unknown' END AS category FROM nm")
 def category_classifier(t):
     c = classify.category(F.col("name"), F.coalesce(F.col("name") == "Beta-lactamase", F.lit(False)), "Beta-lactamase")
-    return _names(t).select(F.col("id").cast("int").alias("id"), c.alias("category"))
+    return _named(t).select("p_partkey", c.alias("category"))
 
 
 # --- joins -----------------------------------------------------------------------------------------------------------
@@ -301,12 +318,20 @@ def name_cleaning(t):
     return t.part.select("p_partkey", F.regexp_extract(c("p_brand"), "#([0-9])", 1).alias("digit"), text.first_token(c("p_name")).alias("head"), text.without_chars(c("p_name"), " ae").alias("cut"), F.lower(F.trim("p_type")).alias("low"), text.safe_file_name(c("p_brand")).alias("safe"))
 
 
-@query("STR-3 STR-4 STR-5 STR-6 STR-7", """SELECT * FROM (VALUES ('blaTEM-1', '', 'blaTEM', 'TEM-1', 'TEM', 'TEM-1'), ('OXA-48a', 'OXA', 'OXA', 'OXA', 'OXA-48a', 'x'), ('mecR1', '', 'mecR1', 'mecR', 'mecR1', 'x'), ('CTX-M-15', 'CTX-M', 'CTX-M', 'CTX-M', 'CTX-M-15', 'x'),
-    ('bla', '', 'bla', 'bla', 'bla', 'x')) v(name, dash, stripped, family, node, rest)""".replace("('blaTEM-1', ''", "('blaTEM-1', 'blaTEM'"))
+@query("STR-3 STR-4 STR-5 STR-6 STR-7", r"""WITH n AS (SELECT p_partkey, CASE p_size % 7 WHEN 0 THEN 'blaTEM-' || CAST(p_size AS VARCHAR) WHEN 1 THEN 'OXA-' || CAST(p_size AS VARCHAR) || 'a' WHEN 2 THEN 'mecR1' WHEN 3 THEN 'CTX-M-' || CAST(p_partkey AS VARCHAR)
+        WHEN 4 THEN 'bla' || p_type || '-x' WHEN 5 THEN p_brand || '-2-3' ELSE p_name END AS name FROM part), c AS (SELECT *, regexp_replace(name, '-\d+[a-z]?$', '') AS cut, regexp_extract(name, '^(.+?)-\d+[a-z]?$', 1) AS head FROM n)
+    SELECT p_partkey, CASE WHEN contains(name, '-') THEN regexp_replace(name, '-[^-]*$', '') ELSE '' END AS dash, CASE WHEN cut = '' THEN name ELSE cut END AS stripped,
+    CASE WHEN name = 'mecR1' THEN 'mecR' WHEN regexp_matches(name, '^bla[A-Z]') THEN substr(name, 4) WHEN regexp_matches(head, '^[A-Za-z][A-Za-z0-9\-]*[A-Za-z]$|^[A-Za-z]+$') THEN head ELSE trim(name) END AS family,
+    coalesce(nullif(regexp_extract(name, '^bla([A-Za-z]+-[A-Za-z]+|[A-Za-z]+)', 1), ''), name) AS node, coalesce(nullif(regexp_extract(name, '^bla(.*)$', 1), ''), 'x') AS rest FROM c""")
 def family_rules(t):
-    x = t.spark.createDataFrame([(n,) for n in ("blaTEM-1", "OXA-48a", "mecR1", "CTX-M-15", "bla")], "name string")
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    kinds = [F.concat(F.lit("blaTEM-"), size), F.concat(F.lit("OXA-"), size, F.lit("a")), F.lit("mecR1"), F.concat(F.lit("CTX-M-"), key), F.concat(F.lit("bla"), "p_type", F.lit("-x")), F.concat("p_brand", F.lit("-2-3"))]
+    name = F.col("p_name")
+    for i, kind in enumerate(kinds):
+        name = F.when(F.col("p_size") % 7 == i, kind).otherwise(name)
     n = F.col("name")
-    return x.select("name", text.drop_last_dash(n).alias("dash"), text.strip_number_suffix(n).alias("stripped"), text.family(n, {"mecR1": "mecR"}).alias("family"), text.node_family(n, {}).alias("node"), text.without_prefix(n, "bla", F.lit("x")).alias("rest"))
+    x = t.part.select("p_partkey", name.alias("name"))
+    return x.select("p_partkey", text.drop_last_dash(n).alias("dash"), text.strip_number_suffix(n).alias("stripped"), text.family(n, {"mecR1": "mecR"}).alias("family"), text.node_family(n, {}).alias("node"), text.without_prefix(n, "bla", F.lit("x")).alias("rest"))
 
 
 @query("STR-10 STR-22", "SELECT n_nationkey, r_name || ';' || n_name AS lineage, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE r_name || '; ' || n_name END AS joined FROM nation JOIN region ON n_regionkey = r_regionkey")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from statistics import fmean
-
 from pyspark.sql import functions as F
 
 from cyclora.functions.numbers import geometric_sizes
-from cyclora.operators import best, clustering, cover, graph
+from cyclora.operators import best, clustering, communities, cover, graph, searches
 from cyclora.operators.ordering import running
 from cyclora.plans.proxies import FEATURES, GRAPH, NEAR, ORDER, container_edges, features, token_edges
 from cyclora.plans.registry import query
@@ -63,13 +61,13 @@ def graph_clustering(t):
     part AS (SELECT x.v AS node, sum(x.n * y.n / z.n) AS dep FROM far x JOIN far y ON y.s = x.v JOIN far z ON z.s = x.s AND z.v = y.v WHERE x.d + y.d = z.d AND x.v <> x.s AND x.v <> y.v GROUP BY 1)
     SELECT v AS node, round(coalesce(dep, 0) / ((SELECT count(*) FROM nd) - 1) / ((SELECT count(*) FROM nd) - 2), 6) AS betweenness FROM nd LEFT JOIN part ON node = v""")
 def graph_betweenness(t):
-    return graph.betweenness(_sparse(t))
+    return searches.betweenness(_sparse(t))
 
 
 @query("GRF-7", f"""WITH RECURSIVE {GRAPH}, u AS (SELECT src AS a, dst AS b FROM edge WHERE src <> dst UNION SELECT dst, src FROM edge WHERE src <> dst), walk(s, node, d) AS (SELECT DISTINCT a, a, 0 FROM u UNION SELECT s, u.b, d + 1 FROM walk JOIN u ON u.a = node WHERE d < 14),
     far AS (SELECT s, node, min(d) AS d FROM walk GROUP BY ALL) SELECT s AS node, round((count(*) - 1) / sum(d) * (count(*) - 1) / ((SELECT count(DISTINCT a) FROM u) - 1), 6) AS closeness FROM far GROUP BY 1""")
 def graph_closeness(t):
-    return graph.closeness(token_edges(t))
+    return searches.closeness(token_edges(t))
 
 
 @query("GRF-6", f"""WITH RECURSIVE {GRAPH}, u AS (SELECT src AS a, dst AS b FROM edge WHERE src <> dst UNION SELECT dst, src FROM edge WHERE src <> dst), nd AS (SELECT src AS node FROM edge UNION SELECT dst FROM edge), k AS (SELECT count(*) AS n FROM nd),
@@ -94,15 +92,14 @@ def graph_hits(t):
 
 @query("GRF-12 GRF-13 GRF-14")
 def graph_small_world(t):
-    e = token_edges(t)
+    """Against a hundred null graphs, which are searched and counted all at once."""
+    e = durable(token_edges(t))
     c = graph.clustering(e).agg(F.avg("coefficient")).first()[0]
-    length = graph.path_length(e)
-    null = durable(graph.configuration_null(e, 5))
-    each = [null.filter(F.col("rep") == r).select("src", "dst") for r in range(5)]
-    cn = fmean(graph.clustering(one).agg(F.avg("coefficient")).first()[0] for one in each)
-    ln = fmean(graph.path_length(one) for one in each)
-    u = graph.undirected(e)
-    lattice = graph.lattice_clustering(graph.nodes_of(e).count(), u.count())
+    length = searches.path_lengths(e, []).first()["path_length"]
+    null = durable(graph.configuration_null(e, 100))
+    cn = graph.clustering(null, ["rep"]).groupBy("rep").agg(F.avg("coefficient").alias("c")).agg(F.avg("c")).first()[0]
+    ln = searches.path_lengths(null, ["rep"]).agg(F.avg("path_length")).first()[0]
+    lattice = graph.lattice_clustering(graph.nodes_of(e).count(), graph.undirected(e).count())
     s = graph.small_world(c, length, cn, ln, lattice)
     return t.spark.createDataFrame([(c, length, s["sigma"], s["omega"])], "clustering double, path_length double, sigma double, omega double")
 
@@ -119,7 +116,7 @@ def _chain(t):
     p(start, node, n) AS (SELECT src, dst, 2 FROM ch WHERE src NOT IN (SELECT node FROM s) AND dst IN (SELECT node FROM s) UNION ALL SELECT start, ch.dst, n + 1 FROM p JOIN ch ON ch.src = p.node WHERE p.node IN (SELECT node FROM s))
     SELECT start, node AS stop, CAST(n AS BIGINT) AS n_nodes FROM p WHERE node NOT IN (SELECT node FROM s)""")
 def graph_unbranching_paths(t):
-    return graph.unbranching_paths(_chain(t)).select("start", F.element_at("nodes", -1).alias("stop"), "n_nodes")
+    return graph.unbranching_paths(_chain(t)).select("start", "stop", "n_nodes")
 
 
 @query("GRF-16", f"""WITH RECURSIVE {_CHAIN}, s AS (SELECT dst AS node FROM ch WHERE dst IN (SELECT src FROM ch GROUP BY 1 HAVING count(*) = 1) GROUP BY 1 HAVING count(*) = 1),
@@ -197,7 +194,7 @@ def class_weights(t):
 @query("CLU-4 CLU-5")
 def graph_communities(t):
     e = _sparse(t)
-    return graph.modularity(e, graph.communities(e))
+    return graph.modularity(e, communities.communities(e))
 
 
 # --- covers and candidates -------------------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ import re
 import shutil
 import sys
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -63,3 +64,23 @@ def durable(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and cuts its lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+class Rounds:
+    """Written tables of an iteration, in a folder of its own in the shared one. Unlike a checkpoint a table that is read back has the
+    size of its files to the planner: estimates carried over multiply at each join, over many rounds beyond all bounds. `done`
+    makes a result durable and deletes the folder."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}", 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        at = f"{self.folder}/{self.n}"
+        df.write.parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def done(self, df: DataFrame) -> DataFrame:
+        out, path = durable(df), self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return out
