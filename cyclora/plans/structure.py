@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cyclora.functions.numbers import geometric_sizes
-from cyclora.operators import best, clustering, communities, cover, graph, searches
+from cyclora.operators import best, clustering, communities, cover, density, graph, searches
 from cyclora.operators.ordering import running
 from cyclora.plans.proxies import FEATURES, GRAPH, NEAR, ORDER, container_edges, features, token_edges
 from cyclora.plans.registry import query
@@ -330,6 +330,34 @@ def threshold_clusters(t):
     return clustering.threshold_clusters(m, "l_orderkey", "l_suppkey", 0.5, 3)
 
 
+_REACH = f"""{_SETS}, n AS (SELECT c, count(*) AS n FROM m GROUP BY 1), j AS (SELECT a.c AS a, b.c AS b, count(*) AS k FROM m a JOIN m b USING (t) WHERE a.c < b.c GROUP BY ALL),
+    p AS (SELECT a, b, round(1 - round(k / (x.n + y.n - k), 6), 6) AS d FROM j JOIN n x ON x.c = a JOIN n y ON y.c = b WHERE k / (x.n + y.n - k) >= 0.5),
+    u AS (SELECT a AS v, b AS o, d FROM p UNION ALL SELECT b, a, d FROM p), core AS (SELECT v, max(d) AS core FROM (SELECT v, d, row_number() OVER (PARTITION BY v ORDER BY d, o) AS r FROM u) WHERE r <= 3 GROUP BY 1 HAVING count(*) = 3),
+    e AS (SELECT a, b, greatest(d, x.core, y.core) AS w FROM p JOIN core x ON x.v = a JOIN core y ON y.v = b)"""
+
+
+def _far(t):
+    pairs = clustering.jaccard_pairs(t.lineitem.select("l_orderkey", "l_suppkey"), "l_orderkey", "l_suppkey", 0.5)
+    return durable(pairs.select("a", "b", F.round(1 - F.col("jaccard"), 6).alias("d")))
+
+
+@query("CLU-2", f"""WITH RECURSIVE {_REACH}, lv AS (SELECT DISTINCT w AS lvl FROM e), nd AS (SELECT a AS v FROM e UNION SELECT b FROM e), f AS (SELECT lvl, a, b FROM lv JOIN e ON w <= lvl UNION ALL SELECT lvl, b, a FROM lv JOIN e ON w <= lvl),
+    lab(i, lvl, node, low, moved) AS (SELECT 0, lvl, v, v, true FROM lv, nd UNION ALL
+        SELECT i, lvl, node, new, bool_or(new < low) OVER () FROM (SELECT i, lvl, node, max(own) AS low, min(l) AS new FROM
+            (SELECT i + 1 AS i, lvl, node, low AS own, low AS l FROM lab WHERE moved UNION ALL SELECT i + 1, f.lvl, b, NULL, low FROM lab JOIN f ON f.lvl = lab.lvl AND a = node WHERE moved) GROUP BY ALL)),
+    k AS (SELECT lvl, count(DISTINCT low) AS k FROM lab WHERE i = (SELECT max(i) FROM lab) GROUP BY 1), s AS (SELECT lvl, coalesce(lag(k) OVER (ORDER BY lvl), (SELECT count(*) FROM nd)) - k AS joined FROM k)
+    SELECT CAST(sum(joined) AS BIGINT) AS n_edges, round(sum(lvl * joined), 4) AS weight FROM s""")
+def spanning_forest(t):
+    """As many edges of a weight as there are fewer components when it is let in."""
+    forest = density.spanning_forest(density.mutual_reachability(_far(t), 3))
+    return forest.agg(F.count("*").alias("n_edges"), F.round(F.sum("w"), 4).alias("weight"))
+
+
+@query("CLU-2")
+def density_clusters(t):
+    return density.density_clusters(_far(t), 3, 5).withColumnRenamed("node", "l_orderkey")
+
+
 @query("CLU-3", """WITH RECURSIVE p AS (SELECT s_suppkey AS id, s_nationkey * 7.0 - 90 AS la, s_suppkey * 3.6 - 180 AS lo FROM supplier),
     d AS (SELECT a.id AS i, b.id AS j FROM p a, p b WHERE 2 * 6371 * asin(sqrt(least(1, pow(sin((radians(b.la) - radians(a.la)) / 2), 2) + cos(radians(a.la)) * cos(radians(b.la)) * pow(sin(radians(b.lo - a.lo) / 2), 2)))) <= 1500),
     c AS (SELECT i FROM d GROUP BY 1 HAVING count(*) >= 5), u AS (SELECT i, j FROM d WHERE i IN (SELECT i FROM c) AND j IN (SELECT i FROM c)),
