@@ -373,13 +373,26 @@ def motif_hits(t):
     return sequence.motif_hits(_bases(t), "doc_id", "s", "NGG", 4).select("doc_id", "strand", F.col("at").alias("pos"), F.col("window").alias("win"))
 
 
-@query("STR-17 STR-18", f"""SELECT doc_id, regexp_matches(substr(s, 1, 3), '^[AG][CT][ACGT]$') AS fits, CASE WHEN length(s) >= 15 THEN substr(s, 11, 5) ELSE '' END AS after_hit, CASE WHEN length(s) >= 4 THEN translate(reverse(substr(s, 1, 4)), 'ACGT', 'TGCA') ELSE '' END AS minus_hit
-    FROM (SELECT doc_id, {_BASES} AS s FROM documents)""")
+#: Hits of the motif in whole texts: h(doc_id, strand, n, i, hit_at), hit_at in plus coordinates.
+_HITS = f"""b AS (SELECT doc_id, {_BASES} AS s FROM documents), d AS (SELECT doc_id, '+' AS strand, s FROM b UNION ALL SELECT doc_id, '-', translate(reverse(s), 'ACGT', 'TGCA') FROM b),
+    c AS (SELECT doc_id, strand, s, string_split_regex(s, '[ACGT]GG') AS pieces FROM d), e AS (SELECT doc_id, strand, length(s) AS n, len(pieces) AS m, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k FROM c),
+    i AS (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id, strand ORDER BY k) + 3 * (k - 1) AS i FROM e), h AS (SELECT doc_id, strand, n, CAST(i AS BIGINT) AS i, CAST(CASE WHEN strand = '+' THEN i ELSE n - i - 3 END AS BIGINT) AS hit_at FROM i WHERE k < m)"""
+
+
+@query("STR-17 STR-18", f"""WITH {_HITS}, f AS (SELECT doc_id, strand, min(hit_at) AS hit_at FROM h GROUP BY ALL)
+    SELECT doc_id, strand, CAST(hit_at AS INT) AS hit_at, CASE WHEN hit_at >= 8 THEN CASE WHEN strand = '+' THEN substr(s, CAST(hit_at - 7 AS INT), 8) ELSE '' END ELSE '' END AS before_plus,
+    CASE WHEN strand = '+' THEN CASE WHEN hit_at + 8 <= length(s) THEN substr(s, CAST(hit_at + 4 AS INT), 5) ELSE '' END ELSE CASE WHEN hit_at >= 5 THEN translate(reverse(substr(s, CAST(hit_at - 4 AS INT), 5)), 'ACGT', 'TGCA') ELSE '' END END AS after_hit,
+    regexp_matches(CASE WHEN strand = '+' THEN substr(s, CAST(hit_at + 1 AS INT), 3) ELSE translate(reverse(substr(s, CAST(hit_at + 1 AS INT), 3)), 'ACGT', 'TGCA') END, '^[AG]GG$') AS fits FROM f JOIN b USING (doc_id)""")
 def flanks(t):
-    s = F.col("s")
-    return _bases(t).select(
-        "doc_id", sequence.full_match(F.substring(s, 1, 3), "RYN").alias("fits"), sequence.flank(s, F.lit(1), F.lit(10), F.lit("plus"), 5).alias("after_hit"), sequence.flank(s, F.lit(5), F.lit(9), F.lit("minus"), 4).alias("minus_hit")
-    )
+    """Of each document's first hit on each strand: what stands beside it."""
+    b = _bases(t)
+    first = sequence.motif_hits(b, "doc_id", "s", "NGG").groupBy("doc_id", "strand").agg(F.min("at").alias("at"))
+    x, s, side = first.join(b, "doc_id"), F.col("s"), F.when(F.col("strand") == "+", "plus").otherwise("minus")
+    start, end = F.col("at") + 1, F.col("at") + 3
+    own = F.substring(s, start, F.lit(3))
+    fits = sequence.full_match(F.when(F.col("strand") == "+", own).otherwise(sequence.reverse_complement(own)), "RGG")
+    before = F.when(F.col("strand") == "+", sequence.flank(s, start, end, side, 8, before=True)).otherwise("")
+    return x.select("doc_id", "strand", F.col("at").alias("hit_at"), before.alias("before_plus"), sequence.flank(s, start, end, side, 5).alias("after_hit"), fits.alias("fits"))
 
 
 @query("STR-21", """WITH a AS (SELECT page_id, unnest(string_split(replace(url, '/', '-'), '')) AS sym, generate_subscripts(string_split(replace(url, '/', '-'), ''), 1) - 1 AS col FROM pages WHERE url <> '')
@@ -451,18 +464,20 @@ def bulk_columns(t):
     return f.select("sub", *shares, ((F.col("value") > 60) | (F.col("strand") < 0)).alias("any_flag"), F.round(aggregates.row_mean(["value", "strand"]), 6).alias("mean"))
 
 
-_STOPS = "('TAA', 'TAG', 'TGA')"
+#: Editors: their window within a guide's twenty bases, the change they make, and the codons that it is to end in.
+_EDITORS = [("C to T", 4, 8, "C", "T", ["TAA", "TAG", "TGA"]), ("A to G", 4, 7, "A", "G", ["GTG", "ACG"])]
+_EDITORS_SQL = ", ".join(f"('{n}', {a}, {z}, '{x}', '{y}', {c})" for n, a, z, x, y, c in _EDITORS)
 
 
-@query("SEQ-3 SEQ-4 SEQ-5", f"""WITH b AS (SELECT doc_id, {_BASES} AS s FROM documents),
-    w AS (SELECT doc_id, s, i, substr(s, CAST(i - i % 3 + 1 AS INT), 3) AS codon FROM b, range(3, 45) r(i) WHERE substr(s, CAST(i + 1 AS INT), 1) = 'C' AND length(s) > 3),
-    c AS (SELECT *, substr(codon, 1, CAST(i % 3 AS INT)) || 'T' || substr(codon, CAST(i % 3 + 2 AS INT), 3) AS changed FROM w)
-    SELECT c.doc_id, CAST(c.i AS INT) AS pos, codon, changed, coalesce((SELECT string_agg(CAST(o.i AS VARCHAR), ',' ORDER BY o.i) FROM w o WHERE o.doc_id = c.doc_id AND o.i <> c.i), '') AS others FROM c WHERE changed IN {_STOPS}""")
-def window_substitutions(t):
-    b = _bases(t).filter(F.length("s") > 3).withColumns({"a": F.lit(3), "z": F.least(F.lit(44), F.length("s") - 1)})  # the window
-    hits = sequence.window_substitutions(b, "doc_id", "s", "a", "z", "C", "T", ["TAA", "TAG", "TGA"])
-    x = hits.join(b, "doc_id")
-    return x.select("doc_id", F.col("at").alias("pos"), "codon", "changed", sequence.bystanders(F.col("s"), F.col("a"), F.col("z"), F.col("at"), "C").alias("others"))
+@query("SEQ-1 SEQ-3 SEQ-4 SEQ-5 SEQ-9", f"""WITH {_HITS}, ed AS (SELECT * FROM (VALUES {_EDITORS_SQL}) v(editor, low, high, old, new, codons)),
+    g AS (SELECT h.doc_id, strand, hit_at, substr(CASE WHEN strand = '+' THEN s ELSE translate(reverse(s), 'ACGT', 'TGCA') END, CAST(i - 19 AS INT), 20) AS guide, s FROM h JOIN b USING (doc_id) WHERE i >= 22),
+    w AS (SELECT *, unnest(range(low, high + 1)) AS site FROM g, ed), p AS (SELECT *, CASE WHEN strand = '+' THEN hit_at - 20 + site - 1 ELSE hit_at + 3 + 20 - site END AS pos FROM w WHERE substr(guide, CAST(site AS INT), 1) = old),
+    q AS (SELECT *, substr(s, CAST(pos - pos % 3 + 1 AS INT), 3) AS codon, CASE WHEN strand = '+' THEN new ELSE translate(new, 'ACGT', 'TGCA') END AS put FROM p),
+    r AS (SELECT *, substr(codon, 1, CAST(pos % 3 AS INT)) || put || substr(codon, CAST(pos % 3 + 2 AS INT), 3) AS changed FROM q WHERE length(codon) = 3)
+    SELECT doc_id, strand, CAST(hit_at AS INT) AS hit_at, editor, CAST(site AS INT) AS site, CAST(pos AS INT) AS pos, guide, codon, changed, array_to_string(list_filter(range(low, high + 1), lambda j: j <> site AND substr(guide, CAST(j AS INT), 1) = old), ',') AS others FROM r WHERE list_contains(codons, changed)""")
+def candidate_sites(t):
+    editors = t.spark.createDataFrame(_EDITORS, "editor string, low int, high int, old string, new string, codons array<string>")
+    return sequence.candidate_sites(_bases(t), "doc_id", "s", "NGG", editors).withColumnRenamed("at", "hit_at")
 
 
 @query("SEQ-8", f"""WITH b AS (SELECT doc_id, {_BASES} AS s FROM documents), k AS (SELECT DISTINCT doc_id, substr(s, CAST(i + 1 AS INT), 24) AS kmer FROM (SELECT doc_id, s, unnest(range(0, length(s) - 23)) AS i FROM b))
